@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import rules  # noqa: F401
+from . import evaluation, rules, text  # noqa: F401

@@ -110,4 +110,4 @@ def with_views(names, body, extra=()):
     """DuckDB text: the named views and any extra (name, sql) pairs as CTEs, then the body."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in names]
     parts += [f"{n} AS ({sql})" for n, sql in extra]
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

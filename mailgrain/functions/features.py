@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
+from ..operators.joins import one_row
 from .base import flag, ratio, strip, unicode_words
 from .rules import caps_ratio, with_rules
 from .urls import is_ip_host, is_shortener, raw_urls, url_features
@@ -102,16 +103,16 @@ def with_url_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def standardise_and_clip(df: DataFrame, names, limit: float = lx.FEATURE_CLIP, stats: DataFrame | None = None) -> DataFrame:
-    """Centre and scale by population deviation, then clip. One aggregation, one one-row join."""
+    """Centre and scale by population deviation, then clip: one aggregation read as a scalar subquery."""
     stats = scaling_statistics(df, names) if stats is None else stats
     keep = [c for c in df.columns if c not in names]
-    joined = df.join(F.broadcast(stats))  # exactly one row by construction
+    s = one_row(stats)
     scaled = [
-        F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(n) - F.col(f"_mean_{n}"))
-                                          / F.when(F.col(f"_sd_{n}") == 0, 1.0).otherwise(F.col(f"_sd_{n}")))).alias(n)
+        F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(n) - s[f"_mean_{n}"])
+                                          / F.when(s[f"_sd_{n}"] == 0, 1.0).otherwise(s[f"_sd_{n}"]))).alias(n)
         for n in names
     ]
-    return joined.select(*keep, *scaled)
+    return df.select(*keep, *scaled)
 
 
 def scaling_statistics(df: DataFrame, names) -> DataFrame:

@@ -1,6 +1,6 @@
 """Joins, set operations and exact duplicate removal."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key
@@ -60,3 +60,8 @@ def paired_predictions(a: DataFrame, b: DataFrame, key: str, label: str, conditi
     """(key, label, pred_a, pred_b) of two prediction sets on the same mails."""
     left = a.select(key, label, condition_a.alias("pred_a"))
     return left.join(b.select(key, condition_b.alias("pred_b")), key)
+
+
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct column (a scalar subquery, not a join)."""
+    return df.select(F.struct(*df.columns)).scalar()

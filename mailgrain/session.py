@@ -21,6 +21,7 @@ def build_session(app_name="mailgrain", master=None, cores=None):
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", os.environ.get("MAILGRAIN_DRIVER_MEMORY", "12g"))
             .config("spark.sql.shuffle.partitions", str(cores or 8))
         )
