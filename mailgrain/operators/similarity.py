@@ -5,8 +5,10 @@ The work never goes through all pairs of a group of copies:
 1. Mails with the same vector collapse to the one with the smallest id (a grouped minimum). A group of
    exact or template copies of any size becomes one row.
 2. Prefix filter: a vector's terms are ordered from most to least frequent; the frequent head whose norm
-   stays below the threshold is not indexed. Two vectors at or above the threshold always share an indexed
-   term. An upper bound from the shared indexed terms drops most candidates before any product is computed.
+   stays below 7/8 of the threshold is not indexed. Two vectors at or above the threshold always share an
+   indexed term. An upper bound from the shared indexed terms drops almost all candidates before any full
+   product is computed (at 0.8 a cut of 0.7 leaves 1,404 of 853,112 pairs of the 10,000-mail table, a cut
+   at the threshold itself 755,435).
 3. Star round: every indexed term proposes only (member, first member). Work is linear in the postings, and
    it already joins a campaign of near copies into one component.
 4. Remaining candidates must cross components. Per term the largest component is the heavy one, and only
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
+from ..functions.base import let
 from ..session import durable
 from .components import connected_components
 from .tfidf import doc_count, postings, vocabulary, word_tokens
 
+HEAD_SHARE = 0.875
 DIGITS = 9  # the order of a sum moves the last bits: similarities are compared after rounding
 
 
@@ -39,8 +43,9 @@ def unit_vectors(df: DataFrame, id_column: str, text: str, stop_words=(), min_df
     # one mail's own terms: bounded by its text
     rows = weighted.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.withColumn("_n", norm).select("id", F.transform("v", lambda x: F.struct(
-        x["order"].alias("order"), x["term"].alias("term"), (x["w"] / F.col("_n")).alias("w"))).alias("v"))
+    # bound to a variable: a plain column would be inlined and computed again for every element
+    return rows.select("id", let(norm, lambda n: F.transform("v", lambda x: F.struct(
+        x["order"].alias("order"), x["term"].alias("term"), (x["w"] / n).alias("w")))).alias("v"))
 
 
 def collapse_equal(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,24 +58,32 @@ def collapse_equal(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def indexed_terms(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, term, w): the rare tail of every vector, from the term on at which the running norm reaches the threshold."""
+    """(id, term, w, head): the rare tail of every vector and the norm of the frequent part left out."""
     position = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = vectors.select("id", F.posexplode("v").alias("pos", "x")).select(
-        "id", "pos", "x.term", "x.w", F.sum(F.col("x.w") * F.col("x.w")).over(position).alias("_run"))
-    limit = threshold * threshold * (1 - 1e-9)
-    return rows.where(F.col("_run") >= limit).select("id", "term", "w")
+        "id", "x.term", "x.w", F.sum(F.col("x.w") * F.col("x.w")).over(position).alias("_run"))
+    limit = (HEAD_SHARE * threshold) ** 2
+    head = F.max(F.when(F.col("_run") < limit, F.col("_run"))).over(Window.partitionBy("id"))
+    return rows.withColumn("head", F.sqrt(F.coalesce(head, F.lit(0.0)))).where(F.col("_run") >= limit).select("id", "term", "w", "head")
+
+
+def _side(index: DataFrame, suffix: str, *extra) -> DataFrame:
+    return index.select("term", F.col("id").alias(suffix), F.col("w").alias(f"w{suffix}"), F.col("head").alias(f"h{suffix}"), *extra)
 
 
 def _bounded(pairs: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs whose upper bound reaches the threshold.
 
-    Input rows (a, b, wa, wb) are shared indexed terms. The rest of both unit vectors adds at most the product
-    of their remaining norms.
+    Input rows (a, b, wa, wb, ha, hb) are the shared indexed terms. Every other shared term lies in the head
+    of one vector and outside the counted terms of the other, so the rest of the product is at most the head
+    norm of the one times the remaining norm of the other.
     """
     sums = pairs.groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") * F.col("wa")).alias("sa"), F.sum(F.col("wb") * F.col("wb")).alias("sb"))
-    left = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("sa")) * (1 - F.col("sb"))))
-    return sums.where(F.col("dot") + left >= threshold - 1e-6).select("a", "b")
+        F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") * F.col("wa")).alias("sa"),
+        F.sum(F.col("wb") * F.col("wb")).alias("sb"), F.max("ha").alias("ha"), F.max("hb").alias("hb"))
+    ra, rb = (F.sqrt(F.greatest(F.lit(0.0), 1 - F.col(c))) for c in ("sa", "sb"))
+    rest = F.least(ra * rb, F.greatest(F.col("ha") * rb, F.col("hb") * ra))
+    return sums.where(F.col("dot") + rest >= threshold - 1e-6).select("a", "b")
 
 
 def _as_map(v: str) -> Column:
@@ -86,11 +99,15 @@ def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float
 
 
 def star_edges(index: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Verified (member, first member of a shared indexed term) edges."""
-    pivots = index.groupBy("term").agg(F.min("id").alias("p"))
-    pairs = index.join(pivots, "term").where(F.col("id") != F.col("p")).select(
-        F.col("p").alias("a"), F.col("id").alias("b"))
-    return verify(pairs.distinct(), vectors, vectors, threshold)
+    """Verified (member, first member of shared indexed terms) edges.
+
+    This round only has to join the bulk of every campaign, so it proposes a pair when the terms the first
+    member leads already carry a good part of the product; whatever it leaves out is found across components.
+    """
+    pivots = index.groupBy("term").agg(F.min_by(F.struct("id", "w"), "id").alias("p"))
+    pairs = index.join(pivots, "term").where(F.col("id") != F.col("p.id")).groupBy(
+        F.col("p.id").alias("a"), F.col("id").alias("b")).agg(F.sum(F.col("w") * F.col("p.w")).alias("dot"))
+    return verify(pairs.where(F.col("dot") >= threshold / 3).select("a", "b"), vectors, vectors, threshold)
 
 
 def crossing_edges(index: DataFrame, vectors: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
@@ -99,13 +116,14 @@ def crossing_edges(index: DataFrame, vectors: DataFrame, components: DataFrame,
     sizes = placed.groupBy("term", "comp").agg(F.count("*").alias("m"))
     heavy = sizes.groupBy("term").agg(F.max_by("comp", F.struct("m", "comp")).alias("heavy"), F.count("*").alias("comps"))
     mixed = placed.join(heavy.where("comps > 1"), "term")
-    light = mixed.where("comp <> heavy").select("term", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("comp").alias("ca"))
-    other = mixed.select("term", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("comp").alias("cb"), "heavy")
-    # light-light pairs once (ca < cb), light-heavy pairs once
-    joined = light.join(other, "term").where((F.col("cb") == F.col("heavy")) & (F.col("ca") != F.col("cb")) | (F.col("cb") != F.col("heavy")) & (F.col("ca") < F.col("cb")))
-    oriented = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                             F.when(F.col("a") < F.col("b"), F.col("wa")).otherwise(F.col("wb")).alias("wa"),
-                             F.when(F.col("a") < F.col("b"), F.col("wb")).otherwise(F.col("wa")).alias("wb"))
+    light = _side(mixed.where("comp <> heavy"), "a", F.col("comp").alias("ca"))
+    other = _side(mixed, "b", F.col("comp").alias("cb"), "heavy")
+    # every pair once: light with heavy as it comes, light with light from the smaller component name
+    joined = light.join(other, "term").where(
+        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("heavy")) | (F.col("ca") < F.col("cb"))))
+    swap = F.col("a") > F.col("b")
+    oriented = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[
+        F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("wa", "wb"), ("wb", "wa"), ("ha", "hb"), ("hb", "ha"))])
     return verify(_bounded(oriented, threshold), vectors, vectors, threshold)
 
 
@@ -159,8 +177,7 @@ def near_copy_ids(df: DataFrame, other: DataFrame, id_column: str, text: str = "
     proposals = here.join(pivots, "term").select(F.col("id").alias("a"), "b").distinct()
     settled = durable(verify(proposals, mine, theirs, threshold).select(F.col("a").alias("id")).distinct())
     open_rows = here.join(settled, "id", "left_anti")
-    pairs = open_rows.select("term", F.col("id").alias("a"), F.col("w").alias("wa")).join(
-        there.select("term", F.col("id").alias("b"), F.col("w").alias("wb")), "term")
+    pairs = _side(open_rows, "a").join(_side(there, "b"), "term")
     late = verify(_bounded(pairs, threshold), mine, theirs, threshold).select(F.col("a").alias("id")).distinct()
     hits = settled.unionByName(late).withColumnRenamed("id", "rep")
     return members.join(hits, "rep", "left_semi").select(F.col("id").alias(id_column))
