@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import copies, evaluation, rules, text  # noqa: F401
+from . import copies, evaluation, rules, signals, text  # noqa: F401
