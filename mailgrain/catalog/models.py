@@ -178,7 +178,7 @@ def rule_transformer(t):
     return out.select("doc_id", F.size(vector_to_array("rule_features")).alias("n"), F.round(F.aggregate(vector_to_array("rule_features"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-LEAN = tm.ModelOptions(use_char=False, feature_version=3)
+LEAN = tm.ModelOptions(use_char=False, feature_version=3, max_iter=25)  # few solver rounds: these queries show the path
 
 
 def _labelled(t):
@@ -205,7 +205,7 @@ def _auc(scored):
 def block_ablation(t):
     """Rules only, words only, words and rules."""
     out = None
-    for name, options in (("rules", tm.ModelOptions(use_text=False, feature_version=3)), ("words", tm.ModelOptions(use_char=False, use_rules=False)), ("words and rules", LEAN)):
+    for name, options in (("rules", tm.ModelOptions(use_text=False, feature_version=3, max_iter=25)), ("words", tm.ModelOptions(use_char=False, use_rules=False, max_iter=25)), ("words and rules", LEAN)):
         part = _auc(_fit_and_score(t, options)[2]).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -214,12 +214,12 @@ def block_ablation(t):
 @query("m5_logistic_regression", None)
 def logistic_regression(t):
     """Word, character and rule blocks, balanced classes."""
-    return _fit_and_score(t, tm.ModelOptions(feature_version=3))[2].select("doc_id", "label", F.round("score", 6).alias("score"))
+    return _fit_and_score(t, tm.ModelOptions(feature_version=3, max_iter=25))[2].select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("m6_linear_svm", None)
 def linear_svm(t):
-    return _fit_and_score(t, tm.ModelOptions(classifier="svm", use_char=False, feature_version=3))[2].select("doc_id", "label", F.round("score", 6).alias("margin"))
+    return _fit_and_score(t, tm.ModelOptions(classifier="svm", use_char=False, feature_version=3, max_iter=25))[2].select("doc_id", "label", F.round("score", 6).alias("margin"))
 
 
 @query("m7_complement_nb_fit", None)

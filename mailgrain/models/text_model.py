@@ -25,6 +25,7 @@ from ..session import durable
 
 CLEAN_STEPS = ("reply", "dates", "format")
 CLASSIFIERS = ("logreg", "svm", "nb")
+ROWS_PER_TASK = 2000
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ class ModelOptions:
     char_ngram: tuple = (2, 5)
     stop_words: tuple = ()
     clean: tuple = ()
+    max_iter: int = 200
 
     def __post_init__(self):
         unknown = set(self.clean) - set(CLEAN_STEPS)
@@ -158,11 +160,12 @@ class TextModel:
             self.scaling = durable(scaling_statistics(inside.rules, feature_names(o.feature_version)))
         weight = F.when(F.col("label") == 1, n / (2.0 * counts.get(1, n))).otherwise(n / (2.0 * counts.get(0, n)))
         rows = self.vectors(inside, ids).join(ids, key).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-        rows = rows.persist()
+        # a solver runs one job per iteration: small training sets must not pay for empty partitions
+        rows = rows.coalesce(n // ROWS_PER_TASK + 1).persist()
         if o.classifier == "logreg":
-            estimator = LogisticRegression(weightCol="weight", regParam=1.0 / (o.C * n), elasticNetParam=0.0, standardization=False, maxIter=200)
+            estimator = LogisticRegression(weightCol="weight", regParam=1.0 / (o.C * n), elasticNetParam=0.0, standardization=False, maxIter=o.max_iter, tol=1e-5)
         elif o.classifier == "svm":
-            estimator = LinearSVC(weightCol="weight", regParam=1.0 / (0.5 * n), standardization=False, maxIter=100)
+            estimator = LinearSVC(weightCol="weight", regParam=1.0 / (0.5 * n), standardization=False, maxIter=o.max_iter, tol=1e-5)
         else:
             estimator = NaiveBayes(modelType="complement", smoothing=0.3)
         self.classifier = estimator.fit(rows)
@@ -263,7 +266,9 @@ def fit_platt(scored: DataFrame, score: str = "score", label: str = "label") ->
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score)))
     rows = VectorAssembler(inputCols=["z"], outputCol="features").transform(
         scored.select(F.ln(p / (1 - p)).alias("z"), F.col(label).cast("double").alias("label")))
-    fitted = LogisticRegression(regParam=1e-9, standardization=False, maxIter=200, tol=1e-10).fit(rows.select("features", "label"))
+    rows = rows.select("features", "label").persist()
+    rows = rows.coalesce(rows.count() // (100 * ROWS_PER_TASK) + 1)  # one number per row
+    fitted = LogisticRegression(regParam=1e-9, standardization=False, maxIter=100, tol=1e-9).fit(rows)
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
