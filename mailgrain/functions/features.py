@@ -102,17 +102,23 @@ def with_url_features(df: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*df.columns, *[F.col(f"_u.{n}").alias(n) for n in lx.URL_FEATURES])
 
 
-def standardise_and_clip(df: DataFrame, names, limit: float = lx.FEATURE_CLIP, stats: DataFrame | None = None) -> DataFrame:
-    """Centre and scale by population deviation, then clip: one aggregation read as a scalar subquery."""
-    stats = scaling_statistics(df, names) if stats is None else stats
+def standardise_and_clip(df: DataFrame, names, limit: float = lx.FEATURE_CLIP, stats: dict | None = None) -> DataFrame:
+    """Centre and scale by population deviation, then clip.
+
+    Without `stats` the moments come from `df` itself: one aggregation read as a scalar subquery. A fitted model
+    passes its stored moments (two numbers per feature) as literals.
+    """
     keep = [c for c in df.columns if c not in names]
-    s = one_row(stats)
-    scaled = [
-        F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(n) - s[f"_mean_{n}"])
-                                          / F.when(s[f"_sd_{n}"] == 0, 1.0).otherwise(s[f"_sd_{n}"]))).alias(n)
-        for n in names
-    ]
-    return df.select(*keep, *scaled)
+    if stats is None:
+        row = one_row(scaling_statistics(df, names))
+        stats = {f"_{kind}_{n}": row[f"_{kind}_{n}"] for kind in ("mean", "sd") for n in names}
+
+    def scaled(n):
+        mean, sd = (x if isinstance(x, Column) else F.lit(float(x)) for x in (stats[f"_mean_{n}"], stats[f"_sd_{n}"]))
+        z = (F.col(n) - mean) / F.when(sd == 0, 1.0).otherwise(sd)
+        return F.greatest(F.lit(-limit), F.least(F.lit(limit), z)).alias(n)
+
+    return df.select(*keep, *[scaled(n) for n in names])
 
 
 def scaling_statistics(df: DataFrame, names) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.linear import explain as explain_terms
 from ..operators.metrics import calibration
 from ..operators.splits import grouped_folds
 from ..session import durable
+from ..sources.folders import shared_folder
 
 CLEAN_STEPS = ("reply", "dates", "format")
 CLASSIFIERS = ("logreg", "svm", "nb")
@@ -95,7 +96,7 @@ class TextModel:
     options: ModelOptions
     vocab: DataFrame | None = None
     vocab_size: int = 0
-    scaling: DataFrame | None = None
+    scaling: dict | None = None
     classifier: object = None
     slope: float | None = None
     intercept: float | None = None
@@ -157,7 +158,7 @@ class TextModel:
             self._fit_vocabulary(inside.terms, F.lit(float(n)))
         if o.use_rules:
             inside.rules = prepared.rules.join(ids.select(key), key, "left_semi")
-            self.scaling = durable(scaling_statistics(inside.rules, feature_names(o.feature_version)))
+            self.scaling = scaling_statistics(inside.rules, feature_names(o.feature_version)).first().asDict()
         weight = F.when(F.col("label") == 1, n / (2.0 * counts.get(1, n))).otherwise(n / (2.0 * counts.get(0, n)))
         rows = self.vectors(inside, ids).join(ids, key).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
         # a solver runs one job per iteration: small training sets must not pay for empty partitions
@@ -168,7 +169,7 @@ class TextModel:
             estimator = LinearSVC(weightCol="weight", regParam=1.0 / (0.5 * n), standardization=False, maxIter=o.max_iter, tol=1e-5)
         else:
             estimator = NaiveBayes(modelType="complement", smoothing=0.3)
-        self.classifier = estimator.fit(rows)
+        self.classifier = _without_summary(estimator.fit(rows))
         rows.unpersist()
         self.meta = {"phishing_share_in_training": round(counts.get(1, 0) / n, 4), "rows": n}
         return self
@@ -226,7 +227,7 @@ class TextModel:
         if self.vocab is not None:
             self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
         if self.scaling is not None:
-            self.scaling.write.mode("overwrite").parquet(f"{path}/scaling")
+            spark.createDataFrame([self.scaling]).write.mode("overwrite").parquet(f"{path}/scaling")
         row = {"feature_schema": lx.FEATURE_SCHEMA, "threshold": float(self.threshold), "vocab_size": self.vocab_size,
                "slope": self.slope, "intercept": self.intercept, "options": json.dumps(asdict(self.options)), "meta": json.dumps(self.meta or {})}
         spark.createDataFrame([row], "feature_schema int, threshold double, vocab_size int, slope double, intercept double, options string, meta string").write.mode(
@@ -240,10 +241,17 @@ class TextModel:
         stored = json.loads(row.options)
         options = ModelOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()})
         return cls(options, spark.read.parquet(f"{path}/vocabulary") if options.use_text else None, row.vocab_size,
-                   spark.read.parquet(f"{path}/scaling") if options.use_rules else None,
+                   spark.read.parquet(f"{path}/scaling").first().asDict() if options.use_rules else None,
                    LogisticRegressionModel.load(f"{path}/classifier"), row.slope, row.intercept, row.threshold, json.loads(row.meta))
 
 
+def _without_summary(fitted):
+    """The fitted model as stored: the training summary holds the session and must not travel with the scoring tasks."""
+    path = shared_folder(TextModel.classifier_session(), "fit")
+    fitted.write().save(path)
+    return type(fitted).load(path)
+
+
 def oof_scores(prepared: Prepared, folded: DataFrame, options: ModelOptions, folds: int) -> DataFrame:
     """(id, label, fold, score): every mail scored by a model that has seen neither it nor its group.
 

@@ -143,9 +143,9 @@ def bootstrap_policy_rates(df: DataFrame, bands: dict, score: str, label: str =
             out.append(rows)
         return pd.Series(out)
 
-    spark = df.sparkSession
-    drawn = spark.range(replicates).select(F.col("id").alias("replicate"), table.scalar().alias("counts")).withColumn(
-        "rates", draw("replicate", "counts"))
+    # one row of counts becomes one small row per replicate, spread over the tasks
+    replicas = table.select("counts", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("replicate")
+    drawn = replicas.withColumn("rates", draw("replicate", "counts"))
     names = F.lit([n for n, _ in named])
     rows = drawn.select("replicate", F.explode(F.arrays_zip(names.alias("policy"), F.col("rates").alias("rates"))).alias("r"))
     value = lambda i: F.get(F.col("r.rates"), F.lit(i))
