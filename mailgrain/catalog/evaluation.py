@@ -36,8 +36,7 @@ KEYED = [("keyed", r"SELECT doc_id, source, lang, md5(trim(regexp_replace(lower(
 @query("j1_exact_dedup", with_views([], "SELECT min(doc_id) AS doc_id, content_key FROM keyed GROUP BY content_key", KEYED))
 def exact_dedup(t):
     """The first mail of every content key."""
-    kept = jn.drop_exact_copies(t.documents.select("doc_id", "text"), order="doc_id")
-    return kept.select("doc_id", content_key(F.col("text")).alias("content_key"))
+    return jn.first_by_content(t.documents, order="doc_id")
 
 
 @query("j2_exclude_keys", with_views([], """SELECT min(doc_id) AS doc_id, content_key FROM keyed WHERE lang = 'en'
@@ -45,8 +44,7 @@ AND content_key NOT IN (SELECT content_key FROM keyed WHERE lang = 'en' AND sour
 def exclude_keys(t):
     docs = t.documents.where("lang = 'en'").select("doc_id", "source", "text")
     held = docs.where("source = 'src3'").select(content_key(F.col("text")).alias("content_key"))
-    kept = jn.drop_exact_copies(docs.select("doc_id", "text"), order="doc_id", exclude=held)
-    return kept.select("doc_id", content_key(F.col("text")).alias("content_key"))
+    return jn.first_by_content(docs, order="doc_id", exclude=held)
 
 
 @query("j7_flag_lookup", with_views([], """SELECT k.doc_id, coalesce(f.toxic, false) AS toxic, coalesce(f.good, false) AS good, f.content_key IS NOT NULL AS matched

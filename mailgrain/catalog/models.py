@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from .. import lexicons as lx
 from ..functions import headers as hd
 from ..functions.policy import platt
+from ..functions.privacy import redact
 from ..functions.text import source_from_file_name
 from ..models.rule_transformer import RuleFeatures
 from ..models import text_model as tm
@@ -151,6 +152,15 @@ def report_sink(t):
     return co.read_report(t.spark, out, "lang string, mean double")
 
 
+@query("s10_term_list", r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])(?i:de|en|es|fr)($|[^\p{L}\p{N}_])')""")
+def term_list(t):
+    """A redaction list written from the language codes and loaded again; mails it changes."""
+    out = shared_folder(t.spark, "terms")
+    t.documents.select(F.col("lang").alias("value")).distinct().write.text(out)
+    changed = redact(F.col("text"), co.load_terms(t.spark, out))
+    return t.documents.where(changed != F.col("text")).select("doc_id")
+
+
 # ---------------------------------------------------------------- streaming
 @query("x1_stream_scoring", rules_sql("SELECT doc_id, source, score, risk FROM mail_rules"))
 def stream_scoring(t):

@@ -18,17 +18,20 @@ def first_per_key(df: DataFrame, key: str, order: str = "id") -> DataFrame:
     return first.select(key, "_row.*").select(*df.columns)
 
 
-def drop_exact_copies(df: DataFrame, text: str = "text", order: str = "id", exclude: DataFrame | None = None) -> DataFrame:
-    """First mail of every content key; keys of `exclude` (column `content_key`) are dropped as well.
+def first_by_content(df: DataFrame, text: str = "text", order: str = "id", exclude: DataFrame | None = None) -> DataFrame:
+    """(content_key, order) of the first mail of every content key, without the keys of `exclude`.
 
-    Only (key, order) is shuffled for the decision: the chosen ids come back with an equi-join on
-    the unique `order` column, so long texts move at most once.
+    Only keys and ids are shuffled, with partial aggregation per task.
     """
     keyed = df.select(order, content_key(F.col(text)).alias("content_key"))
     if exclude is not None:
         keyed = keyed.join(exclude.select("content_key").distinct(), "content_key", "left_anti")
-    first = keyed.groupBy("content_key").agg(F.min(order).alias(order))
-    return df.join(first, order)
+    return keyed.groupBy("content_key").agg(F.min(order).alias(order))
+
+
+def drop_exact_copies(df: DataFrame, text: str = "text", order: str = "id", exclude: DataFrame | None = None) -> DataFrame:
+    """The rows chosen by `first_by_content`: an equi-join on the unique `order` column, so texts move at most once."""
+    return df.join(first_by_content(df, text, order, exclude), order).select(*df.columns)
 
 
 def unresolved_hosts(links: DataFrame, snapshot: DataFrame) -> DataFrame:

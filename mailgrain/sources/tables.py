@@ -13,6 +13,6 @@ def read_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFr
     df = spark.read.parquet(path)
     if spread:
         cores = spark.sparkContext.defaultParallelism
-        if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
     return df
