@@ -160,13 +160,14 @@ def _curve(t):
     return cv.score_curve(t.scored, "score_a", keys=["lang"])
 
 
-@query("a3_roc_auc", scored_sql("""SELECT p.lang, round(avg(CASE WHEN p.score_a > n.score_a THEN 1.0 WHEN p.score_a = n.score_a THEN 0.5 ELSE 0.0 END), 6) AS roc_auc
-FROM (SELECT * FROM scored WHERE label = 1) p JOIN (SELECT * FROM scored WHERE label = 0) n ON n.lang = p.lang GROUP BY p.lang"""))
+@query("a3_roc_auc", scored_sql("""SELECT l.lang, a.roc_auc FROM (SELECT DISTINCT lang FROM scored) l LEFT JOIN (
+ SELECT p.lang, round(avg(CASE WHEN p.score_a > n.score_a THEN 1.0 WHEN p.score_a = n.score_a THEN 0.5 ELSE 0.0 END), 6) AS roc_auc
+ FROM (SELECT * FROM scored WHERE label = 1) p JOIN (SELECT * FROM scored WHERE label = 0) n ON n.lang = p.lang GROUP BY p.lang) a ON a.lang = l.lang"""))
 def roc_auc(t):
     return cv.curve_summary(_curve(t), ["lang"]).select("lang", _r("roc_auc").alias("roc_auc"))
 
 
-@query("a4_pr_auc", scored_sql("SELECT lang, round(sum(pos / p_all * tp / (tp + fp)), 6) AS pr_auc FROM curve GROUP BY lang", CURVE))
+@query("a4_pr_auc", scored_sql("SELECT lang, CASE WHEN max(p_all) > 0 AND max(n_all) > 0 THEN round(sum(pos / p_all * tp / (tp + fp)), 6) END AS pr_auc FROM curve GROUP BY lang", CURVE))
 def pr_auc(t):
     return cv.curve_summary(_curve(t), ["lang"]).select("lang", _r("pr_auc").alias("pr_auc"))
 
@@ -329,7 +330,7 @@ def jeffreys(t):
     return mt.prevalence_table(mt.confusion(t.scored, F.col("score_a") >= T_A, keys=["lang"]), lx.PREVALENCES)
 
 
-@query("a20_pr_auc_at_prevalence", scored_sql("SELECT lang, round(sum(pos / p_all * tp / (tp + 99.0 * p_all / n_all * fp)), 6) AS pr_auc FROM curve GROUP BY lang", CURVE))
+@query("a20_pr_auc_at_prevalence", scored_sql("SELECT lang, CASE WHEN max(p_all) > 0 AND max(n_all) > 0 THEN round(sum(pos / p_all * tp / (tp + 99.0 * p_all / n_all * fp)), 6) END AS pr_auc FROM curve GROUP BY lang", CURVE))
 def pr_auc_at_prevalence(t):
     return cv.curve_summary(_curve(t), ["lang"], prevalence=0.01).select("lang", _r("pr_auc").alias("pr_auc"))
 
