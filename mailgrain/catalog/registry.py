@@ -1,10 +1,10 @@
 """Registry of named queries and the SQL each one is checked against."""
 
+from ..session import ship_package
 from .views import Tables
 
 QUERIES = {}
 ORACLES = {}
-FIXTURE_ONLY = set()
 
 
 def query(name, oracle=None):
@@ -15,7 +15,7 @@ def query(name, oracle=None):
             raise ValueError(f"duplicate query name: {name}")
 
         def run(spark, folder):
-            return fn(Tables(spark, folder))
+            return fn(Tables(ship_package(spark), folder))
 
         run.__doc__ = fn.__doc__
         run.__name__ = name

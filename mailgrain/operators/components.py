@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b); a component is named by its smallest node.
 
     Every round takes the smallest label among a node's neighbours (grouped, with partial aggregation, so
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = durable(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(
             F.col("a").alias("node")).agg(F.min("component").alias("_near"))
         lowered = labels.join(seen, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
@@ -25,4 +25,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "component")
         if jumped.where("component <> _old").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

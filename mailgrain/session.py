@@ -1,10 +1,28 @@
 """Session settings and reliable lineage cuts."""
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.folders import shared_root
+
+_SHIPPED = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers (once per application), wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(package)), "zip",
+            os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)  # the driver serves the file; no worker reads the driver's disk
+        _SHIPPED.add(context.applicationId)
+    return spark
+
 
 def build_session(app_name="mailgrain", master=None, cores=None):
     """A session with adaptive execution on; `master` is left to spark-submit on a cluster."""
@@ -26,18 +44,15 @@ def build_session(app_name="mailgrain", master=None, cores=None):
             .config("spark.driver.memory", os.environ.get("MAILGRAIN_DRIVER_MEMORY", "12g"))
             .config("spark.sql.shuffle.partitions", str(cores or 8))
         )
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
-    The shared folder comes from the session (`spark.checkpoint.dir`). Only where the session names
-    none, as in local tests, a folder is made for this run.
+    The shared folder comes from the session (`spark.checkpoint.dir`); only a local session may go without one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -6,7 +6,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The session's shared folder. A session on this machine alone may do without; a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
