@@ -63,17 +63,18 @@ class Encoder:
             parts = (piece,) if piece.isalpha() else _WORDS.findall(piece)
         else:
             parts = (piece,) if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else _BYTES.findall(piece)
-        out = b""
-        for w in parts:
-            got = words.get(w)
-            if got is None:
-                s = w if w.isascii() else w.encode().decode("latin-1")
-                got = array("I", [t.id for t in self.model.tokenize(s.translate(self.as_bytes))]).tobytes()
-                if len(words) > self.most_kept // 2:
-                    words.clear()
-                words[w] = got
-            out += got
-        return out
+        return b"".join([words[w] if w in words else self.word(w) for w in parts])
+
+    def word(self, w: str) -> bytes:
+        """Ids of one pre-token."""
+        got = self.words.get(w)
+        if got is None:
+            s = w if w.isascii() else w.encode().decode("latin-1")
+            got = array("I", [t.id for t in self.model.tokenize(s.translate(self.as_bytes))]).tobytes()
+            if len(self.words) > self.most_kept:
+                self.words.clear()
+            self.words[w] = got
+        return got
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,10 +87,10 @@ class Encoder:
         if self.kind == "words":
             pieces, first = text.split(), b""
         else:
-            pieces = text.split(" ")
-            if not all(pieces) or "\n " in text or " \n" in text or "\t" in text or "\r" in text:
-                return b"".join(self._known(w) for w in _BYTES.findall(text))
-            first, pieces = self._known(pieces[0]), pieces[1:]
+            pieces = self.blank_pieces(text)
+            if pieces is None:
+                return b"".join(map(self.word, _BYTES.findall(text)))
+            first, pieces = self._piece(pieces[0]), pieces[1:]
         kept = self.kept
         if len(kept) > self.most_kept:
             kept.clear()
@@ -102,14 +103,28 @@ class Encoder:
                     kept[p] = self._piece(lead + p)
             return first + b"".join([kept[p] for p in pieces])
 
-    def _known(self, word: str) -> bytes:
-        """Ids of one pre-token."""
-        key = ("", word)
-        out = self.kept.get(key)
-        if out is None:
-            if len(self.kept) > self.most_kept:
-                self.kept.clear()
-            out = self.kept[key] = self._piece(word)
+    @staticmethod
+    def blank_pieces(text: str):
+        """Pieces between single blanks, if pre-tokens begin at every blank; else None. Takes plain text only."""
+        pieces = text.split(" ")
+        if not all(pieces) or "\n " in text or " \n" in text or "\t" in text or "\r" in text:
+            return None
+        return pieces
+
+    def is_plain(self, text: str) -> bool:
+        return self.kind == "bytes" and _PLAIN.fullmatch(text) is not None
+
+    def sizes(self, pieces):
+        """Number of ids of pieces that follow a blank."""
+        kept = self.kept
+        if len(kept) > self.most_kept:
+            kept.clear()
+        out = []
+        for p in pieces:
+            got = kept.get(p)
+            if got is None:
+                got = kept[p] = self._piece(" " + p)
+            out.append(len(got) // 4)
         return out
 
     def pre_tokens(self, text: str):
