@@ -128,11 +128,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return written(ordered.mapInArrow(run, f"{_INDEX} {kind}, id {kind}"), "warc-index")
 
 
-def read_archives(index: DataFrame, folder: str, gap: int = 64 << 10, block: int = 8 << 20, payloads: bool = False) -> DataFrame:
+def read_archives(index: DataFrame, folder: str, gap: int = 64 << 10, block: int = 8 << 20, task_bytes: int = 16 << 20,
+                  payloads: bool = False) -> DataFrame:
     """The records of the index rows (a selection of the index): id, payload_bytes, payload_digest, record_type,
     refers_to, and the payload if asked for (null for revisits), all from the archives themselves."""
     kind = dict(index.dtypes)["id"]
-    wanted = index.select("file", "offset", "length", "id").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length").alias("total")).first()["total"] or 0  # index rows are small; what they point at is not
+    wanted = index.select("file", "offset", "length", "id").repartitionByRange(-(-total // task_bytes) or 1, "file", "offset").sortWithinPartitions("file", "offset")
     names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
 
     def run(batches):
