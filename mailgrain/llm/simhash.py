@@ -98,7 +98,7 @@ def _forest(left, right, distance: int, same: bool):
                 a_out.append(nodes[i])
                 b_out.append(nodes[j])
             parent[j] = here
-    return np.array(a_out, np.int64), np.array(b_out, np.int64)
+    return np.array(a_out, np.uint64).view(np.int64), np.array(b_out, np.uint64).view(np.int64)
 
 
 def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, dense: int = 48, chunk: int = 1024) -> DataFrame:
@@ -119,6 +119,7 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, dense: int =
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         fp, mine, i, j = (group[c].to_numpy() for c in ("fp", "mine", "i", "j"))
+        fp = fp.view(np.uint64)  # NumPy counts the bits of a signed number's absolute value
         left = fp[mine == i[0]]
         same = i[0] == j[0]
         x, y = _forest(left, left if same else fp[mine == j[0]], distance, same)
