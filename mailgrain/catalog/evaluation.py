@@ -244,7 +244,7 @@ def _chi_square(t):
     # continuity correction in the two-by-two case
     gap = F.abs(F.col("k") - e1)
     gap = F.when(total["g"] == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return counts.withColumn("_x", gap ** 2 / e1 + gap ** 2 / e0).agg(
+    return counts.withColumn("_x", F.try_divide(gap ** 2, e1) + F.try_divide(gap ** 2, e0)).agg(
         F.sum("_x").alias("statistic"), (F.count("*") - 1).alias("freedom"))
 
 
@@ -295,7 +295,7 @@ def _fold_f1(t):
     y = F.col("label") == 1
 
     def f1(flag):
-        return 2 * F.count_if(flag & y) / (F.count_if(y) + F.count_if(flag))
+        return F.coalesce(F.try_divide(2 * F.count_if(flag & y), F.count_if(y) + F.count_if(flag)), F.lit(0.0))
     return t.scored.groupBy("fold").agg(f1(F.col("score_a") >= T_A).alias("f1_a"), f1(F.col("score_b") >= T_B).alias("f1_b"))
 
 
@@ -320,7 +320,7 @@ _PREV_SQL = "(VALUES " + ", ".join(f"({p}::DOUBLE)" for p in lx.PREVALENCES) + "
 FROM counts, {_PREV_SQL}""", CONFUSION))
 def precision_by_prevalence(t):
     c = jn.cross_with_values(mt.confusion(t.scored, F.col("score_a") >= T_A, keys=["lang"]), "prevalence", lx.PREVALENCES)
-    tpr, fpr = F.col("tp") / (F.col("tp") + F.col("fn")), F.col("fp") / (F.col("fp") + F.col("tn"))
+    tpr, fpr = F.try_divide("tp", F.col("tp") + F.col("fn")), F.try_divide("fp", F.col("fp") + F.col("tn"))
     return c.select("lang", "prevalence", _r(precision_at_prevalence(tpr, fpr, F.col("prevalence"))).alias("precision"))
 
 

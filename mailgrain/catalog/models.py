@@ -27,7 +27,7 @@ RAW = """concat('From ', source, '@example.org Mon Jan  6 09:00:00 2025\n', head
 CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\f\v]+', ' ', 'g'), '\n[\s\v]*\n+', chr(10) || chr(10), 'g'), '^[\s\v]+|[\s\v]+$', '', 'g')"
 # archive writers quote body lines that start like an envelope line
 QUOTED_SQL = CLEAN_SQL.replace("text,", r"regexp_replace(text, '(^|\n)From ', '\1>From ', 'g'),", 1)
-MESSAGE_SQL = f"substr('Subject: Weekly ' || doc_id || chr(10) || chr(10) || {QUOTED_SQL}, 1, 20000)"
+MESSAGE_SQL = f"('Subject: Weekly ' || doc_id || chr(10) || chr(10) || {QUOTED_SQL})"
 
 
 def _messages(t):
@@ -68,7 +68,7 @@ def encoded_subjects(t):
     return ar.model_text(ar.decode_messages(raw)).select("doc_id", F.substring_index("text", "\n", 1).alias("first_line"))
 
 
-@query("t6_routed_text", f"""SELECT doc_id, doc_id % 2 = 0 AS is_mail, md5(CASE WHEN doc_id % 2 = 0 THEN {MESSAGE_SQL} ELSE substr({CLEAN_SQL}, 1, 20000) END) AS digest FROM documents""")
+@query("t6_routed_text", f"""SELECT doc_id, doc_id % 2 = 0 AS is_mail, md5(CASE WHEN doc_id % 2 = 0 THEN {MESSAGE_SQL} ELSE {CLEAN_SQL} END) AS digest FROM documents""")
 def routed_text(t):
     """Raw mail is decoded, anything else is only cleaned and cut."""
     rows = _messages(t).withColumn("raw", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.expr(RAW), r"^[^\n]*\n", "")).otherwise(F.col("text")))
@@ -121,7 +121,7 @@ def ragged_csv(t):
     return co.load_ragged_csv(t.spark, out).groupBy("label").agg(F.count("*").alias("mails"), F.sum(F.length("body")).alias("chars"))
 
 
-@query("s8_generated_csv", rf"""SELECT generator, theme, count(*) AS mails, CAST(sum(length(substr('Subject: about ' || source || chr(10) || chr(10) || {CLEAN_SQL}, 1, 20000))) AS BIGINT) AS chars
+@query("s8_generated_csv", rf"""SELECT generator, theme, count(*) AS mails, CAST(sum(length('Subject: about ' || source || chr(10) || chr(10) || {CLEAN_SQL})) AS BIGINT) AS chars
 FROM (SELECT lang AS generator, 't' || (doc_id % 3) AS theme, source, text FROM documents) q GROUP BY generator, theme""")
 def generated_csv(t):
     out = shared_folder(t.spark, "generated")

@@ -16,8 +16,9 @@ def clean_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(blanks, rf"\n[{SPACE}]*\n+", "\n\n"))
 
 
-def cut(c: Column, limit: int = lx.MAX_TEXT_CHARS) -> Column:
-    return F.substring(c, 1, limit)
+def cut(c: Column, limit: int | None = None) -> Column:
+    """Whole text, unless the caller sets a limit."""
+    return c if limit is None else F.substring(c, 1, limit)
 
 
 def mask_urls(c: Column) -> Column:

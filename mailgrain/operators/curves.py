@@ -49,7 +49,7 @@ def curve_summary(curve: DataFrame, keys=(), fpr_limit: float = 0.01, prevalence
     """ROC-AUC, average precision, best-F1 threshold and the cut for a false-alarm limit."""
     P, N, tp, fp = (F.col(c).cast("double") for c in ("P", "N", "tp", "fp"))
     both = (F.first("P") > 0) & (F.first("N") > 0)
-    weight = F.lit(1.0) if prevalence is None else F.lit((1 - prevalence) / prevalence) * P / N
+    weight = F.lit(1.0) if prevalence is None else F.try_divide(F.lit((1 - prevalence) / prevalence) * P, N)
     f1 = 2 * tp / (tp + fp + P)
     allowed = F.floor(F.lit(fpr_limit) * N)
     # fp counts at or above the score: legitimate mails strictly below it are N - fp
@@ -143,8 +143,8 @@ def min_cost_threshold(df: DataFrame, score: str, label: str, cells: list[dict],
         *keys, "cell", "P", "N", F.sum(F.coalesce("pos", F.lit(0))).over(upto).alias("missed"),
         F.sum(F.coalesce("neg", F.lit(0))).over(upto).alias("passed")).where(F.col("cell") < len(grid))
     costed = cross_with_structs(run, cells)
-    cost = (F.col("prevalence") * F.col("cost_ratio") * F.col("missed") / F.col("P")
-            + (1 - F.col("prevalence")) * (1 - F.col("passed") / F.col("N")))
+    cost = (F.col("prevalence") * F.col("cost_ratio") * F.coalesce(F.try_divide("missed", "P"), F.lit(0.0))
+            + (1 - F.col("prevalence")) * F.coalesce(1 - F.try_divide("passed", "N"), F.lit(0.0)))
     by = [*keys, "cost_ratio", "prevalence"]
     w = Window.partitionBy(*by)
     best = costed.withColumn("cost", cost).withColumn("_min", F.min("cost").over(w))

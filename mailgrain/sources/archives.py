@@ -1,78 +1,72 @@
 """Raw mail: mbox archives and message files to model text.
 
-Spark splits the archives and the files; one Arrow-batched pass decodes MIME with the standard library and
-emits only the fields that are needed. Everything after decoding is native.
+Spark splits the archives and the files. One Arrow-batched pass takes messages apart with the standard library and hands on
+headers and text parts as they are; which parts make the body, what the subject is and whether it is mail at all are columns.
 """
 
 from email import message_from_bytes, policy
-from email.header import decode_header
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
+from ..functions.base import collapse, literal_array, strip
 from ..functions.html import part_text
 from ..functions.text import clean_whitespace, cut, source_from_file_name
 
-DECODED = "is_mail boolean, subject string, body string, header_block string, html string, plain string"
-_TEXT_KINDS = ("text/plain", "text/html")
+PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string,readable:string>>"
+_PIECE_NAMES = ["headers", "parts"]
 
 
-def _part_content(part) -> str:
+def _characters(part) -> str:
+    """Characters of one part; bytes that its charset cannot read are replaced, an unknown charset is taken as UTF-8."""
+    data = part.get_payload(decode=True) or b""
     try:
-        return part.get_content()
-    except Exception:  # unknown charset or broken encoding
-        return (part.get_payload(decode=True) or b"").decode("utf-8", errors="replace")
+        return data.decode(part.get_content_charset("ascii"), "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
 
 
-def _decoded_subject(value: str) -> str:
-    if "=?" in value:
-        try:
-            value = "".join(v.decode(c or "utf-8", errors="replace") if isinstance(v, bytes) else v for v, c in decode_header(value))
-        except Exception:
-            pass
-    return " ".join(value.split())
-
-
-def decode_message(raw: bytes) -> dict | None:
-    """The fields of one raw message; None when it cannot be decoded at all."""
+def take_apart(raw: bytes):
+    """(headers, text parts) of one message, or None where the library gives up on it."""
     try:
         message = message_from_bytes(raw, policy=policy.default)
-        names = {n.lower() for n in message.keys()}
-        found = {kind: [] for kind in _TEXT_KINDS}
-        for part in message.walk():
-            if not part.is_multipart() and part.get_content_disposition() != "attachment":
-                kind = part.get_content_type()
-                if kind in found:
-                    found[kind].append(_part_content(part))
-        plain, html = found["text/plain"], found["text/html"]
-        readable = plain if any(p.strip() for p in plain) else [part_text(h) for h in html]
-        return {
-            "is_mail": bool(names & set(lx.MAIL_HEADER_NAMES)),
-            "subject": _decoded_subject(str(message.get("Subject", "") or "")),
-            "body": "\n".join(readable),
-            "header_block": "".join(f"{k}: {v}\n" for k, v in message.items()),
-            "html": "\n".join(html), "plain": "\n".join(plain),
-        }
+        headers = [{"name": n, "value": str(v)} for n, v in message.items()]
+        texts = [(p.get_content_type(), p.get_content_disposition() == "attachment", _characters(p)) for p in message.walk() if p.get_content_maintype() == "text"]
     except Exception:
         return None
+    return headers, [{"kind": k, "attached": a, "content": c, "readable": part_text(c) if k == "text/html" else c} for k, a, c in texts]
 
 
 def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
-    """Replace the binary column by the decoded fields; undecodable messages are skipped."""
+    """Replace the binary column by is_mail, subject, body, header_block, html, plain; unreadable messages are skipped."""
     keys = [f for f in raw.schema if f.name != content]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [DECODED])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [PIECES])
     names = [f.name for f in keys]
 
     def run(batches):
         for pdf in batches:
-            decoded = [decode_message(bytes(c)) for c in pdf[content]]
-            keep = [d is not None for d in decoded]
-            fields = pd.DataFrame([d for d in decoded if d is not None], columns=["is_mail", "subject", "body", "header_block", "html", "plain"])
-            yield pd.concat([pdf.loc[keep, names].reset_index(drop=True), fields], axis=1)
-
-    return raw.mapInPandas(run, schema)
+            taken = pdf[content].map(lambda c: take_apart(bytes(c)))
+            there = taken.notna()
+            pieces = pd.DataFrame(taken[there].tolist(), columns=_PIECE_NAMES)
+            yield pd.concat([pdf.loc[there, names].reset_index(drop=True), pieces], axis=1)
+
+    def shown(kind, field):
+        return F.transform(F.filter("parts", lambda p: (p["kind"] == kind) & ~p["attached"]), lambda p: p[field])
+
+    name = F.transform("headers", lambda h: F.lower(h["name"]))
+    subjects = F.filter("headers", lambda h: F.lower(h["name"]) == "subject")
+    plain, html = shown("text/plain", "content"), shown("text/html", "content")
+    body = F.when(F.exists(plain, lambda t: strip(t) != ""), plain).otherwise(shown("text/html", "readable"))
+    return raw.mapInPandas(run, schema).select(
+        *names,
+        F.arrays_overlap(name, literal_array(lx.MAIL_HEADER_NAMES)).alias("is_mail"),
+        F.coalesce(collapse(F.get(subjects, F.lit(0))["value"]), F.lit("")).alias("subject"),
+        F.array_join(body, "\n").alias("body"),
+        F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\n"))), "").alias("header_block"),
+        F.array_join(html, "\n").alias("html"),
+        F.array_join(plain, "\n").alias("plain"))
 
 
 def message_text(subject: Column, body: Column) -> Column:
