@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions.base import collapse, literal_array, strip
-from ..functions.html import part_text
+from ..functions.html import html_text
 from ..functions.text import clean_whitespace, cut, source_from_file_name
 
-PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string,readable:string>>"
+PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string>>"
 _PIECE_NAMES = ["headers", "parts"]
 
 
@@ -36,7 +36,7 @@ def take_apart(raw: bytes):
         texts = [(p.get_content_type(), p.get_content_disposition() == "attachment", _characters(p)) for p in message.walk() if p.get_content_maintype() == "text"]
     except Exception:
         return None
-    return headers, [{"kind": k, "attached": a, "content": c, "readable": part_text(c) if k == "text/html" else c} for k, a, c in texts]
+    return headers, [{"kind": k, "attached": a, "content": c} for k, a, c in texts]
 
 
 def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
@@ -52,13 +52,13 @@ def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
             pieces = pd.DataFrame(taken[there].tolist(), columns=_PIECE_NAMES)
             yield pd.concat([pdf.loc[there, names].reset_index(drop=True), pieces], axis=1)
 
-    def shown(kind, field):
-        return F.transform(F.filter("parts", lambda p: (p["kind"] == kind) & ~p["attached"]), lambda p: p[field])
+    def shown(kind):
+        return F.transform(F.filter("parts", lambda p: (p["kind"] == kind) & ~p["attached"]), lambda p: p["content"])
 
     name = F.transform("headers", lambda h: F.lower(h["name"]))
     subjects = F.filter("headers", lambda h: F.lower(h["name"]) == "subject")
-    plain, html = shown("text/plain", "content"), shown("text/html", "content")
-    body = F.when(F.exists(plain, lambda t: strip(t) != ""), plain).otherwise(shown("text/html", "readable"))
+    plain, html = shown("text/plain"), shown("text/html")
+    body = F.when(F.exists(plain, lambda t: strip(t) != ""), plain).otherwise(F.transform(html, html_text))
     return raw.mapInPandas(run, schema).select(
         *names,
         F.arrays_overlap(name, literal_array(lx.MAIL_HEADER_NAMES)).alias("is_mail"),

@@ -60,7 +60,7 @@ def test_summary_never_shows_the_body(rows):
 def test_html_exact_and_native_agree_on_plain_markup(spark):
     html = ['<p>Hello <b>you</b></p><a href="https://x.example/a">go</a><br></br>', "<style>p{}</style><div>A &amp; B</div><script>x()</script>"]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "id int, html string")
-    out = df.select("id", ht.html_text("html").alias("e"), ht.html_text_native(F.col("html")).alias("n")).orderBy("id").collect()
+    out = df.select("id", ht.html_text(F.col("html")).alias("e"), ht.html_text_native(F.col("html")).alias("n")).orderBy("id").collect()
     assert [r.e for r in out] == [r.n for r in out]
     assert out[0].e.startswith("Hello you\n https://x.example/a go")
 
@@ -121,3 +121,48 @@ def test_redaction_keeps_longer_words(rows):
 def test_turkish_variants(spark):
     (r,) = spark.sql("SELECT 'ispir' AS t").select(tx.case_variants(F.col("t")).alias("v")).collect()
     assert {"ispir", "ISPIR", "İSPİR", "İspir"} <= set(r.v)
+
+
+def test_html_text_of_broken_markup(spark):
+    cases = {
+        "a &lt; b &amp;&nbsp;c &#8364;&#x1F600; &bogus; &copy d": "a < b &\xa0c €\U0001f600 &bogus; \xa9 d",
+        "<p>one<p>two</div>three": "onetwo\nthree",
+        "x<br/>y<br>z": "x\nyz",
+        "<script>if (a < b) {}</script>kept<style>p > a {}": "kept",
+        "1 < 2 and <3 <!-- <p>no</p> -->done": "1 < 2 and <3 done",
+        "<a title='say \"x > y\"' HREF=http://h.example/?a=1&amp;b=2>t</a>": " http://h.example/?a=1&b=2 t",
+        "<a href=\"mailto:x\">t</a><!DOCTYPE html><?php ?>": "t",
+        "&#0;&#x80;&#55296;": "�€�",
+        "": "",
+    }
+    df = spark.createDataFrame(list(cases.items()) + [(None, None)], "html string, due string")
+    for r in df.select("html", "due", ht.html_text(F.col("html")).alias("t")).collect():
+        assert r.t == r.due, r.html
+
+
+def test_hidden_text_follows_the_open_elements(spark):
+    cases = {
+        "<div hidden><p>12345<p>678</div>90": (8, 2),  # unclosed elements end with their parent
+        "<div><span style='DISPLAY : none'>123</div>4567": (3, 4),
+        "<p hidden>12</b>34</p>5": (4, 1),  # a stray end tag is ignored
+        "<input hidden><br hidden>1234": (0, 4),  # void elements hold nothing
+        "<div hidden/>12": (0, 2),
+        "<div hidden>1<div>2</div>3</div>4": (3, 1),
+        "<div hidden>a<script>bbbb</script> c </div>": (2, 0),
+        "<b title='style hidden'>12</b>": (0, 2),
+    }
+    df = spark.createDataFrame([(h, *due) for h, due in cases.items()], "html string, hidden int, visible int")
+    for r in df.withColumn("c", ht.shown_chars(ht.pieces(F.col("html")))).collect():
+        assert (r.c.hidden, r.c.visible) == (r.hidden, r.visible), r.html
+
+
+def test_links_of_broken_markup(spark):
+    cases = {
+        '<a href="x">one <b>two</b></a>': [("x", "one two")],
+        "<a href=x>lost<a href=' y '>kept</a></a>": [("y", "kept")],
+        "<a name=n>t</a><a href=z>open": [("", "t")],
+        "<abbr>no</abbr><a href=q/>": [("q/", "")] ,
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "html string")
+    for r in df.withColumn("a", ht.anchors(ht.pieces(F.col("html")))).collect():
+        assert [tuple(x) for x in r.a] == cases[r.html], r.html
