@@ -237,15 +237,7 @@ CONTINGENCY = [("cells", f"SELECT lang, score_a >= {T_A} AS f, count(*) AS n FRO
 
 
 def _chi_square(t):
-    counts = t.scored.groupBy("lang").agg(F.count_if(F.col("score_a") >= T_A).alias("k"), F.count("*").alias("n"))
-    total = jn.one_row(counts.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("g")))
-    share = total["k"] / total["n"]
-    e1, e0 = F.col("n") * share, F.col("n") * (1 - share)
-    # continuity correction in the two-by-two case
-    gap = F.abs(F.col("k") - e1)
-    gap = F.when(total["g"] == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return counts.withColumn("_x", F.try_divide(gap ** 2, e1) + F.try_divide(gap ** 2, e0)).agg(
-        F.sum("_x").alias("statistic"), (F.count("*") - 1).alias("freedom"))
+    return mt.chi_square(t.scored, F.col("score_a") >= T_A, "lang")
 
 
 @query("a12_chi_square", scored_sql("SELECT round(sum((n - e) ** 2 / e), 6) AS statistic, count(DISTINCT lang) - 1 AS freedom FROM expected", CONTINGENCY))
@@ -282,9 +274,8 @@ def corpus_sizes(t):
 @query("a15_percentiles", scored_sql("""SELECT lang, round(quantile_cont(score_a, 0.025), 6) AS p025, round(quantile_cont(score_a, 0.05), 6) AS p05,
  round(median(score_a), 6) AS p50, round(quantile_cont(score_a, 0.975), 6) AS p975 FROM scored GROUP BY lang"""))
 def percentiles(t):
-    p = F.percentile("score_a", [0.025, 0.05, 0.5, 0.975])
-    out = t.scored.groupBy("lang").agg(p.alias("p"))
-    return out.select("lang", *[_r(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("p025", "p05", "p50", "p975"))])
+    found = cv.percentiles(t.scored, "score_a", {"p025": 0.025, "p05": 0.05, "p50": 0.5, "p975": 0.975}, ["lang"])
+    return found.select("lang", *[_r(n).alias(n) for n in ("p025", "p05", "p50", "p975")])
 
 
 FOLD_F1 = [("fold_f1", f"""SELECT fold, 2 * count(*) FILTER (label = 1 AND score_a >= {T_A}) / (count(*) FILTER (label = 1) + count(*) FILTER (score_a >= {T_A})) AS f1_a,
@@ -292,25 +283,18 @@ FOLD_F1 = [("fold_f1", f"""SELECT fold, 2 * count(*) FILTER (label = 1 AND score
 
 
 def _fold_f1(t):
-    y = F.col("label") == 1
-
-    def f1(flag):
-        return F.coalesce(F.try_divide(2 * F.count_if(flag & y), F.count_if(y) + F.count_if(flag)), F.lit(0.0))
-    return t.scored.groupBy("fold").agg(f1(F.col("score_a") >= T_A).alias("f1_a"), f1(F.col("score_b") >= T_B).alias("f1_b"))
+    return mt.f1_scores(t.scored, {"f1_a": F.col("score_a") >= T_A, "f1_b": F.col("score_b") >= T_B})
 
 
 @query("a16_seed_summary", scored_sql("SELECT round(avg(f1_a), 6) AS mean, round(stddev_pop(f1_a), 6) AS std, round(min(f1_a), 6) AS low, round(max(f1_a), 6) AS high FROM fold_f1", FOLD_F1))
 def seed_summary(t):
-    return _fold_f1(t).agg(_r(F.avg("f1_a")).alias("mean"), _r(F.stddev_pop("f1_a")).alias("std"), _r(F.min("f1_a")).alias("low"), _r(F.max("f1_a")).alias("high"))
+    return mt.spread(_fold_f1(t), "f1_a")
 
 
 @query("a17_fold_differences", scored_sql("""SELECT round(avg(f1_a), 6) AS mean_a, round(stddev_samp(f1_a) / sqrt(count(*)), 6) AS se_a,
  round(avg(f1_b - f1_a), 6) AS difference, round(stddev_samp(f1_b - f1_a) / sqrt(count(*)), 6) AS se_difference FROM fold_f1""", FOLD_F1))
 def fold_differences(t):
-    d = F.col("f1_b") - F.col("f1_a")
-    root = F.sqrt(F.count("*"))
-    return _fold_f1(t).agg(_r(F.avg("f1_a")).alias("mean_a"), _r(F.stddev_samp("f1_a") / root).alias("se_a"),
-                           _r(F.avg(d)).alias("difference"), _r(F.stddev_samp(d) / root).alias("se_difference"))
+    return mt.paired_difference(_fold_f1(t), "f1_a", "f1_b")
 
 
 _PREV_SQL = "(VALUES " + ", ".join(f"({p}::DOUBLE)" for p in lx.PREVALENCES) + ") v(prevalence)"
@@ -388,7 +372,7 @@ def bootstrap_difference(t):
 
 @query("a25_bootstrap_auc", None)
 def bootstrap_auc(t):
-    draws = mt.bootstrap_auc(t.scored, "score_a", replicates=500)
+    draws = mt.bootstrap_auc(t.scored, "score_a")
     lo, hi = mt.percentile_interval(F.col("auc"))
     return draws.agg(F.count("*").alias("replicates"), _r(F.avg("auc")).alias("mean"), _r(lo).alias("lo"), _r(hi).alias("hi"))
 
@@ -410,10 +394,7 @@ def flagged_record(t):
  SELECT *, CASE WHEN label = 1 THEN 'miss' ELSE 'alarm' END AS kind FROM scored WHERE (label = 1) <> (score_a >= {T_A})) e) q WHERE rank <= 8"""))
 def top_errors(t):
     """The eight lowest-scored misses and highest-scored alarms of every set (a top-k report)."""
-    wrong = t.scored.where((F.col("label") == 1) != (F.col("score_a") >= T_A)).withColumn("kind", F.when(F.col("label") == 1, "miss").otherwise("alarm"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.when(F.col("kind") == "miss", F.col("score_a")).otherwise(-F.col("score_a")), "doc_id")
-    return wrong.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 8").select(
-        "lang", "kind", "rank", "doc_id", F.col("score_a").alias("score"))
+    return mt.top_errors(t.scored, F.col("score_a") >= T_A, "score_a", "doc_id", ["lang"])
 
 
 @query("w2_sender_cap", """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM documents) q WHERE r <= 30""")
@@ -543,7 +524,7 @@ def hybrid_weights(t):
 @query("w13_best_weight", scored_sql("SELECT arg_max(weight, struct_pack(f := f1, w := weight)) AS weight, max(f1) AS f1 FROM hw", HYBRID_SQL))
 def best_weight(t):
     """The last weight with the highest F1 wins."""
-    return _hybrid(t).agg(F.max_by("weight", F.struct("f1", "weight")).alias("weight"), F.max("f1").alias("f1"))
+    return cv.best_weight(_hybrid(t))
 
 
 def _numeric_band(r, c, pi, share):
@@ -570,12 +551,8 @@ _RC_SQL = "(VALUES " + ", ".join(f"({i}, {c!r}::DOUBLE, {CURVE_BANDS[f'{i:02d}']
  count(*) FILTER (label = 1 AND score_a > lo AND score_a < hi) / count(*) FILTER (label = 1) AS rp, count(*) FILTER (label = 0 AND score_a > lo AND score_a < hi) / count(*) FILTER (label = 0) AS rl
  FROM scored, {_RC_SQL} GROUP BY step, c) q) p"""))
 def risk_coverage(t):
-    out = mt.policy_rates(t.scored, CURVE_BANDS, "score_a")
-    step = F.col("policy").cast("int")
-    c = F.get(F.lit(CURVE_COSTS), step)
-    rate = 0.01 * F.col("review_phishing") + 0.99 * F.col("review_legit")
-    auto = 0.01 * 100 * F.col("fnr") + 0.99 * F.col("fpr")
-    return out.select(step.alias("step"), _r(1 - rate).alias("coverage"), _r(1000 * (auto + c * rate)).alias("total_cost"))
+    steps = [(c, *CURVE_BANDS[f"{i:02d}"]) for i, c in enumerate(CURVE_COSTS)]
+    return mt.risk_coverage(t.scored, steps, "score_a", 100, 0.01)
 
 
 # ---------------------------------------------------------------- decision policy
@@ -613,7 +590,8 @@ FROM (SELECT *, doc_id % 3 = 0 AS v, doc_id % 4 = 0 AS s FROM scored) q, (SELECT
 def second_stage(t):
     """The bar for verified, unsuspicious senders is the 5th percentile of their phishing scores, at least t."""
     rows = t.scored.withColumns({"v": F.col("doc_id") % 3 == 0, "s": F.col("doc_id") % 4 == 0})
-    bar = jn.one_row(rows.where("label = 1 AND v AND NOT s").agg(F.greatest(F.lit(T_A), F.percentile("score_a", 0.05)).alias("t_v")))["t_v"]
+    fifth = cv.percentiles(rows.where("label = 1 AND v AND NOT s"), "score_a", {"q": 0.05})
+    bar = jn.one_row(fifth.select(F.greatest(F.lit(T_A), F.col("q")).alias("t_v")))["t_v"]
     stage = F.col("score_a") >= pol.relieved_threshold(F.col("v"), F.col("s"), T_A, bar)
     flagged = rows.select("label", (F.col("score_a") >= T_A).alias("b"), stage.alias("g"), bar.alias("t_v"))
     return flagged.groupBy("label").agg(F.count("*").alias("n"), F.count_if("b").alias("base"), F.count_if("g").alias("stage"), _r(F.max("t_v")).alias("t_v"))
@@ -624,9 +602,7 @@ def second_stage(t):
 def adoption_rule(t):
     """Adopt when at least two sets improve and none is significantly worse."""
     counts = mt.mcnemar_counts(_paired(t).join(t.scored.select("doc_id", "lang"), "doc_id"), keys=["lang"]).withColumn("p", mcnemar_p("only_a_correct", "only_b_correct"))
-    better = F.count_if(F.col("only_b_correct") > F.col("only_a_correct"))
-    worse = F.coalesce(F.bool_or((F.col("p") < 0.05) & (F.col("only_a_correct") > F.col("only_b_correct"))), F.lit(False))
-    return counts.agg(better.alias("better_sets"), F.count("*").alias("sets"), worse.alias("any_worse"), ((better >= 2) & ~worse).alias("adopted"))
+    return mt.adoption(counts)
 
 
 @query("m13_hybrid_score", scored_sql("SELECT doc_id, round(0.6 * score_a * 100 + 0.4 * least(score_b * 120, 100.0), 6) AS hybrid FROM scored"))

@@ -23,9 +23,26 @@ from ..operators import splits as sp
 from ..plans import corpus as cp
 from ..plans import studies as sd
 from ..session import durable
-from .evaluation import T_A, T_B, TRAIN_SHARE
+from .evaluation import MCNEMAR_SQL, T_A, T_B, TRAIN_SHARE, scored_sql
 from .registry import query
+from .rules import URLS_V4
 from .rules_sql import rules_sql
+from .signals import SIGNALS, SUSPICIOUS, VERIFIED
+from .views import with_views
+
+
+_RATED = [*hd.SIGNALS, "verified"]
+HEADER_STUDY_SQL = with_views(["mail_headers"], """SELECT signal, phishing_rate, other_rate, round(ratio, 2) AS ratio, phishing_rate >= 0.05 AND ratio >= 3 AS promising FROM (
+ SELECT p.signal, p.rate AS phishing_rate, o.rate AS other_rate, p.rate / greatest(o.rate, 1.0 / greatest(o.n, 1)) AS ratio FROM rates p JOIN rates o ON o.signal = p.signal AND o.grp = 'other' WHERE p.grp = 'phishing') q""", SIGNALS + [
+    ("grouped", f"SELECT h.*, {VERIFIED} AS verified, CASE WHEN l.toxic = 1 THEN 'phishing' ELSE 'other' END AS grp FROM header_signals h JOIN labels l USING (doc_id)"),
+    ("rates", " UNION ALL ".join(f"SELECT grp, '{s}' AS signal, count({s}) AS n, round(count(*) FILTER ({s}) / count({s}), 4) AS rate FROM grouped GROUP BY grp" for s in _RATED))])
+SENDER_STAGE_SQL = with_views(["mail", "mail_headers", "scored"], f"""SELECT label, t_v, count(*) AS n, count(*) FILTER (v AND NOT s) AS relieved, count(*) FILTER (score_a >= {T_A}) AS base,
+ count(*) FILTER (score_a >= CASE WHEN v AND NOT s THEN greatest({T_A}, t_v) ELSE {T_A} END) AS stage FROM (
+ SELECT c.label, c.score_a, f.v, f.s FROM scored c JOIN (SELECT doc_id, {VERIFIED} AS v, {SUSPICIOUS} AS s FROM header_signals JOIN url_features USING (doc_id)) f USING (doc_id)) q,
+ (VALUES (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (0.999::DOUBLE), (1.01::DOUBLE)) b(t_v) GROUP BY label, t_v""", SIGNALS + URLS_V4)
+SECOND_MODEL_SQL = scored_sql(f"""SELECT label, only_a_correct, only_b_correct, round({MCNEMAR_SQL}, 4) AS p_value FROM (
+ SELECT label, count(*) FILTER (a AND NOT b) AS only_a_correct, count(*) FILTER (NOT a AND b) AS only_b_correct FROM (
+  SELECT label, (score_b >= {T_B}) = (label = 1) AS a, (score_a >= {T_A}) = (label = 1) AS b FROM scored) q GROUP BY label) d""")
 
 
 def _labelled(t):
@@ -41,9 +58,9 @@ def _inputs(t, version=4):
 @query("q1_corpus_preparation", None)
 def corpus_preparation(t):
     rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "source", "text", F.coalesce("toxic", F.lit(0)).alias("label"))
-    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    n = F.pmod(F.xxhash64("source"), F.lit(10))  # whole sources: four tenths, then two tenths for each other corpus
     split = lambda low, high: rows.where((n >= low) & (n < high))
-    return cp.sizes(cp.prepare_corpora(split(0, 8), split(8, 12), split(12, 16), split(16, 100)))
+    return cp.sizes(cp.prepare_corpora(split(0, 4), split(4, 6), split(6, 8), split(8, 10)))
 
 
 @query("q2_model_comparison", None)
@@ -90,7 +107,7 @@ def false_alarms(t):
     mails, prepared = _inputs(t)
     parts = durable(sp.group_split(mails.drop("text"), "source"))
     train, val, test = (parts.where(F.col("part") == i) for i in range(3))
-    return sd.false_alarm_study(prepared, train, val, test, {"v2": sd.rules_only(2), "v3": sd.rules_only(3)})
+    return sd.false_alarm_study(prepared, train, val, test, {f"v{v}": sd.rules_only(v) for v in (2, 3)})
 
 
 @query("q8_recall_study", None)
@@ -163,7 +180,7 @@ def lockbox_report(t):
 
 @query("q13_threshold_stability", None)
 def threshold_stability(t):
-    return sd.threshold_stability(t.scored.select("doc_id", "label", "source", F.col("score_a").alias("score")), "source", (1, 2, 3))
+    return sd.threshold_stability(t.scored.select("doc_id", "label", "source", F.col("score_a").alias("score")), "source", (1, 2, 3, 4, 5))
 
 
 @query("q14_commercial_mail", None)
@@ -171,8 +188,9 @@ def commercial_mail(t):
     """Masked, deduplicated, sender-capped inbox mail: signal rates of links and HTML by class of sender."""
     headers = t.mail_headers
     inbox = t.mail.join(headers, "doc_id").where(hd.in_inbox(F.col("header_block")))
-    masked = inbox.select("doc_id", "source", mask_personal(F.col("text"), F.col("header_block")).alias("text"))
-    kept = durable(sp.sample_per_group(jn.drop_exact_copies(masked, order="doc_id"), "source", "doc_id", lx.SENDER_CAP))
+    sender = hd.sender_domain(hd.header_value(F.col("header_block"), "From"))
+    masked = inbox.select("doc_id", sender.alias("sender"), mask_personal(F.col("text"), F.col("header_block")).alias("text"))
+    kept = durable(sp.sample_per_group(jn.drop_exact_copies(masked, order="doc_id"), "sender", "doc_id", lx.SENDER_CAP))
     english = tx.with_language_ratios(kept).select("doc_id", "english")
     html = ht.with_html_signals(t.html_mail).withColumnRenamed("page_id", "doc_id").select("doc_id", "form", "hidden_text", "image_heavy", "link_text_domain_mismatch", "meta_refresh")
     links = with_url_features(kept).select("doc_id", (F.col("url_free_hosting_fraction") > 0).alias("free_hosting"), (F.col("url_redirect_param") > 0).alias("redirect_param"))
@@ -204,14 +222,14 @@ def tone_variants(t):
     return sd.stack(rows)
 
 
-@query("q17_header_study", None)
+@query("q17_header_study", HEADER_STUDY_SQL)
 def header_study(t):
     rows = hd.with_header_signals(t.mail_headers).join(t.labels, "doc_id").withColumn("grp", F.when(F.col("toxic") == 1, "phishing").otherwise("other"))
     rates = sg.signal_rates(rows.withColumn("verified", hd.verified_sender()), [*hd.SIGNALS, "verified"], "grp")
     return sg.promising_signals(rates, "grp", "phishing", "other")
 
 
-@query("q18_sender_stage", None)
+@query("q18_sender_stage", SENDER_STAGE_SQL)
 def sender_stage(t):
     """Second stage for verified senders and its sensitivity to the higher bar."""
     links = with_url_features(t.mail.where("label IS NOT NULL").select("doc_id", "text")).select("doc_id", "url_free_hosting_fraction")
@@ -233,7 +251,7 @@ def generated_mail(t):
 
 @query("q20_decision_policy", None)
 def decision_policy(t):
-    return sd.decision_policy(t.scored.select("label", F.col("score_a").alias("score")), TRAIN_SHARE, T_A, [(100.0, 0.01), (10.0, 0.05)], 0.25, replicates=500)
+    return sd.decision_policy(t.scored.select("label", F.col("score_a").alias("score")), TRAIN_SHARE, T_A, [(100.0, 0.01), (10.0, 0.05)], 0.25)
 
 
 @query("q21_shortcut_study", None)
@@ -258,7 +276,7 @@ def train_report(t):
     return test.withColumns({"threshold": F.lit(model.threshold), "ece": F.lit(model.meta["ece"]), "brier": F.lit(model.meta["brier"])})
 
 
-@query("c5_second_model_adoption", None)
+@query("c5_second_model_adoption", SECOND_MODEL_SQL)
 def second_model_adoption(t):
     a = t.scored.select("doc_id", "label", F.col("score_a").alias("score"))
     return sd.paired_tests(t.scored.select("doc_id", "label", F.col("score_b").alias("score")), a, T_B, T_A, "doc_id")

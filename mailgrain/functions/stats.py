@@ -52,16 +52,23 @@ def mcnemar_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
 
 
 def _fisher(a, b, c, d):
+    """Terms are taken outward from the mode until they vanish: work grows with the spread, not with the counts."""
     a, b, c, d = int(a), int(b), int(c), int(d)
     row, column, n = a + b, a + c, a + b + c + d
     low, high = max(0, column - (n - row)), min(row, column)
-    x = np.arange(low, high)
-    # log ratios of neighbouring hypergeometric terms, summed up once
-    steps = np.log((row - x) / (x + 1.0)) + np.log((column - x) / (n - row - column + x + 1.0)) if len(x) else np.zeros(0)
-    logs = np.concatenate([[0.0], np.cumsum(steps)])
-    p = np.exp(logs - logs.max())
-    p /= p.sum()
-    return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
+    mode = min(high, max(low, (row + 1) * (column + 1) // (n + 2)))
+    terms = {mode: 1.0}
+    for way in (1, -1):
+        x, term = mode, 1.0
+        while low <= x + way <= high and term > 1e-300:
+            up, down = (row - x) * (column - x), (x + 1) * (n - row - column + x + 1)
+            if way < 0:
+                up, down = x * (n - row - column + x), (row - x + 1) * (column - x + 1)
+            term *= up / down
+            x += way
+            terms[x] = term
+    bar = terms.get(a, 0.0) * (1 + 1e-7)
+    return min(1.0, math.fsum(t for t in terms.values() if t <= bar) / math.fsum(terms.values()))
 
 
 @F.pandas_udf(T.DoubleType())

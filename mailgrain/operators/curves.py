@@ -63,6 +63,28 @@ def curve_summary(curve: DataFrame, keys=(), fpr_limit: float = 0.01, prevalence
     )
 
 
+def percentiles(df: DataFrame, value: str, shares: dict, keys=()) -> DataFrame:
+    """Interpolated percentiles `{name: share}` per key; nulls do not count, no value gives null.
+
+    Equal values are counted first and ranks come from running totals, so no task holds all values of a key.
+    """
+    keys = list(keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    run = running_totals(counted, keys, "_value", ["_n"], descending=False)
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = run.join(sizes, keys) if keys else run.withColumn("_all", one_row(sizes)["_all"])
+
+    def at(rank):
+        return F.max(F.when((F.col("_n_run") - F.col("_n") <= rank) & (rank < F.col("_n_run")), F.col("_value")))
+
+    out = []
+    for name, share in shares.items():
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
+
+
 # ---------------------------------------------------------------- F1 over the fixed threshold grid
 def _grid_cell(score: Column) -> Column:
     """Index of the largest grid value not above the score (-1 below the grid)."""
@@ -111,6 +133,11 @@ def plateau_threshold(fold_curves: DataFrame, keys=(), rule: str = "plateau") ->
         (value(F.col("peak.cell")) if rule == "max" else middle).alias("threshold"))
 
 
+def best_weight(curves: DataFrame) -> DataFrame:
+    """The weight with the highest F1 of a table (weight, f1); of equal ones the last."""
+    return curves.agg(F.max_by("weight", F.struct("f1", "weight")).alias("weight"), F.max("f1").alias("f1"))
+
+
 # ---------------------------------------------------------------- minimum cost over the logit grid
 def cost_grid() -> list[float]:
     edge = math.log(lx.COST_GRID_EDGE / (1 - lx.COST_GRID_EDGE))

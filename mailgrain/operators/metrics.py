@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.base import ratio
 from ..functions.policy import expected_cost
 from ..functions.stats import jeffreys_precision_draws, precision_at_prevalence, share, wilson
-from .joins import cross_with_values
+from .joins import cross_with_values, one_row
 
 
 def confusion(df: DataFrame, flagged: Column, label: str = "label", keys=()) -> DataFrame:
@@ -207,3 +207,59 @@ def prevalence_table(counts: DataFrame, prevalences, draws: int = 20000, blocks:
         tp, fn, fp, tn, F.col("prevalence"), F.lit(draws // blocks), F.col("_b"))))
     lo, hi = percentile_interval(F.col("_v"))
     return drawn.groupBy(*keys, "prevalence").agg(F.first("precision").alias("precision"), F.round(lo, 4).alias("lo"), F.round(hi, 4).alias("hi"))
+
+
+# ---------------------------------------------------------------- tests and summaries over sets, folds and policies
+def chi_square(df: DataFrame, flagged: Column, group: str) -> DataFrame:
+    """(statistic, freedom) of flagged against the groups; two groups get the continuity correction, an empty
+    expectation adds nothing."""
+    counts = df.groupBy(group).agg(F.count_if(flagged).alias("k"), F.count("*").alias("n"))
+    total = one_row(counts.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("g")))
+    part = F.try_divide(total["k"], total["n"])
+    e1, e0 = F.col("n") * part, F.col("n") * (1 - part)
+    gap = F.abs(F.col("k") - e1)
+    gap = F.when(total["g"] == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+    term = F.coalesce(F.try_divide(gap ** 2, e1), F.lit(0.0)) + F.coalesce(F.try_divide(gap ** 2, e0), F.lit(0.0))
+    return counts.withColumn("_x", term).agg(F.sum("_x").alias("statistic"), (F.count("*") - 1).alias("freedom"))
+
+
+def f1_scores(df: DataFrame, flags: dict, label: str = "label", keys=("fold",)) -> DataFrame:
+    """F1 per key of every named decision; 0 where nothing is positive and nothing flagged."""
+    y = F.col(label) == 1
+    return df.groupBy(*keys).agg(*[ratio(2 * F.count_if(f & y), F.count_if(y) + F.count_if(f)).alias(name) for name, f in flags.items()])
+
+
+def spread(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
+    """Mean, population deviation and range over repetitions (seeds or folds)."""
+    return df.agg(*[F.round(f(value), digits).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))])
+
+
+def paired_difference(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
+    """Mean of `a`, mean of b - a over the same folds, and their standard errors."""
+    d, root = F.col(b) - F.col(a), F.sqrt(F.count("*"))
+    return df.agg(F.round(F.avg(a), digits).alias("mean_a"), F.round(F.stddev_samp(a) / root, digits).alias("se_a"),
+                  F.round(F.avg(d), digits).alias("difference"), F.round(F.stddev_samp(d) / root, digits).alias("se_difference"))
+
+
+def top_errors(df: DataFrame, flagged: Column, score: str, id_column: str, keys, n: int = 8, label: str = "label") -> DataFrame:
+    """The `n` lowest-scored misses and highest-scored alarms of every key (a top-k report)."""
+    wrong = df.where((F.col(label) == 1) != flagged).withColumn("kind", F.when(F.col(label) == 1, "miss").otherwise("alarm"))
+    order = Window.partitionBy(*keys, "kind").orderBy(F.when(F.col("kind") == "miss", F.col(score)).otherwise(-F.col(score)), id_column)
+    ranked = wrong.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
+    return ranked.select(*keys, "kind", "rank", id_column, F.col(score).alias("score"))
+
+
+def risk_coverage(df: DataFrame, steps: list, score: str, cost_ratio: float, prevalence: float, digits: int = 6) -> DataFrame:
+    """(step, coverage, total_cost) for a list of (review cost, lower limit, upper limit)."""
+    rates = policy_rates(df, {f"{i:04d}": (lo, hi) for i, (_, lo, hi) in enumerate(steps)}, score)
+    step = F.col("policy").cast("int")
+    review = prevalence * F.col("review_phishing") + (1 - prevalence) * F.col("review_legit")
+    cost = expected_cost(F.col("fnr"), F.col("fpr"), F.col("review_phishing"), F.col("review_legit"), cost_ratio, prevalence, F.get(F.lit([c for c, _, _ in steps]), step))
+    return rates.select(step.alias("step"), F.round(1 - review, digits).alias("coverage"), F.round(1000 * cost, digits).alias("total_cost"))
+
+
+def adoption(counts: DataFrame, p_value: str = "p", sets: int = 2, level: float = 0.05) -> DataFrame:
+    """Adopt b when at least `sets` sets improve and none is significantly worse (McNemar counts with p-values)."""
+    gain, loss = F.col("only_b_correct") > F.col("only_a_correct"), F.col("only_a_correct") > F.col("only_b_correct")
+    better, worse = F.count_if(gain), F.coalesce(F.bool_or((F.col(p_value) < level) & loss), F.lit(False))
+    return counts.agg(better.alias("better_sets"), F.count("*").alias("sets"), worse.alias("any_worse"), ((better >= sets) & ~worse).alias("adopted"))

@@ -1,15 +1,13 @@
 """Delimited corpora, term lists and sinks."""
 
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions.base import strip
 from ..functions.text import compose_mail_text, cut, normalised_label
 
-MAX_TERMS = 10000
-
 
 def scan_csv(spark: SparkSession, path, columns) -> DataFrame:
     """Quoted CSV with embedded line breaks; every column a string, never inferred."""
@@ -59,12 +57,14 @@ def load_generated_csv(spark: SparkSession, path) -> DataFrame:
                        F.col("model").alias("generator"), F.col("category").alias("theme"))
 
 
-def load_terms(spark: SparkSession, path) -> list[str]:
-    """A redaction list, one term per line of at least two characters; the list must be short."""
-    rows = spark.read.text(path).select(strip(F.col("value")).alias("term")).where(F.length("term") >= 2).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"a redaction list holds at most {MAX_TERMS} terms")
-    return [r.term for r in rows]
+def load_terms(spark: SparkSession, path) -> DataFrame:
+    """A redaction list (column `term`), one term per line of at least two characters."""
+    return spark.read.text(path).select(strip(F.col("value")).alias("term")).where(F.length("term") >= 2)
+
+
+def term_array(terms: DataFrame) -> Column:
+    """All terms of a list as one literal array, for `redact`: a pattern that every task needs whole."""
+    return F.lit(terms.agg(F.sort_array(F.collect_set("term")).alias("terms")).first()["terms"]).cast("array<string>")
 
 
 def write_corpus(df: DataFrame, path) -> dict:

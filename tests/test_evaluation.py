@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ def test_mcnemar_closed_form(spark):
 
 def test_fisher_and_chi_square(spark):
     assert value(spark, stats.fisher_p(F.lit(3), F.lit(1), F.lit(1), F.lit(3))) == pytest.approx(0.4857142857)
+    start = time.time()
+    assert 0.3 < stats._fisher(250_000_000, 250_000_100, 250_020_000, 249_990_000) < 0.4 and time.time() - start < 5
+    assert stats._fisher(0, 0, 0, 0) == 1.0 and stats._fisher(5, 0, 0, 5) == pytest.approx(2 / 252)
     assert value(spark, stats.chi_square_p(F.lit(3.841459), F.lit(1))) == pytest.approx(0.05, abs=1e-6)
     assert value(spark, stats.chi_square_p(F.lit(5.991465), F.lit(2))) == pytest.approx(0.05, abs=1e-6)
 
@@ -149,3 +154,22 @@ def test_groups_never_split(spark):
     assert 0.6 < sizes[0] / 900 < 0.8
     shares = sp.stratified_split(df, "id", "label").groupBy("part").agg(F.avg("label").alias("y"), F.count("*").alias("n")).collect()
     assert max(r.y for r in shares) - min(r.y for r in shares) < 0.02 and len(shares) == 3
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    data = [(str(k), float(v)) for k in range(3) for v in rng.integers(0, 20, 5 + 40 * k)] + [("0", None), ("single", 3.5)]
+    df = spark.createDataFrame(data, "k string, v double")
+    shares = {"a": 0.025, "b": 0.5, "c": 1.0}
+    for r in cv.percentiles(df, "v", shares, ["k"]).collect():
+        own = [v for k, v in data if k == r.k and v is not None]
+        assert [r.a, r.b, r.c] == pytest.approx([np.quantile(own, q) for q in shares.values()])
+    assert cv.percentiles(df.where("false"), "v", {"a": 0.5}).first().a is None
+
+
+def test_adoption_and_chi_square_on_empty_cells(spark):
+    counts = spark.createDataFrame([(1, 9, 0.02), (2, 8, 0.1), (9, 1, 0.02)], "only_a_correct int, only_b_correct int, p double")
+    assert mt.adoption(counts).first().adopted is False
+    assert mt.adoption(counts.where("only_a_correct < 9")).first().adopted is True
+    same = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "g string, s double")
+    assert mt.chi_square(same, F.col("s") > 2, "g").first().statistic == 0.0
