@@ -32,6 +32,20 @@ def with_prefix(df: DataFrame, order, value: str, out: str) -> DataFrame:
         *df.columns, (F.col("__offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(out))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, by, most: int = 1000, ways: int = 64) -> DataFrame:
+    """Inner join of `rows` with `table` (one row per key) where a few keys may hold most of `rows`.
+
+    `counts` has (key, n): rows per key. Keys with more than one in `most` of all rows are hot; there are fewer than
+    `most` of them, so their list may be broadcast. Their rows go to `ways` tasks by a hash of `by`, and their row of
+    `table` goes to each of those; all other keys are joined as they are. Null keys match nothing."""
+    total = counts.agg(F.sum("n").alias("__n"))
+    hot = F.broadcast(counts.where(F.col("n") * most > total.scalar()).select(key, F.lit(ways).alias("__ways")))
+    way = F.when(F.col("__ways").isNotNull(), F.pmod(F.xxhash64(by), F.col("__ways")).cast("int")).otherwise(0)
+    left = rows.join(hot, key, "left").withColumn("__way", way).drop("__ways")
+    right = table.join(hot, key, "left").withColumn("__way", F.explode(F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1))).drop("__ways")
+    return left.join(right, [key, "__way"]).drop("__way")
+
+
 def arrow_rows(names, types, columns):
     """A record batch from Python lists or NumPy arrays."""
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_rows, written
+from .common import arrow_rows, spread_join, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,12 +132,12 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, dense: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id, links): one row per document. `links` counts the stored links of its fingerprint."""
     each = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(each.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
+    distinct = written(each.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "distinct")
     edges = written(links(distinct, distance), "links")
     parts = connected_components(edges)
-    named = parts.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("first").alias("name"))
+    named = parts.join(distinct.select(F.col("fp").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("name"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     linked = parts.join(named, "component").join(degree, "node").select(F.col("node").alias("fp"), "name", "links")
     whole = distinct.join(linked, "fp", "left").select(
         "fp", F.coalesce("name", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return each.join(whole, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return spread_join(each, whole, "fp", distinct.select("fp", "n"), id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")

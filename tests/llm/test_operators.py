@@ -391,3 +391,14 @@ def test_archives(spark, tmp_path):
     with pytest.raises(ValueError):
         warc.parse_record(whole.replace(b"\0\r\n\r\n", b"\1\r\n\r\n"))
     assert rows_of(warc.archived(pages.limit(0))) == []
+
+
+def test_spread_join_equals_a_plain_join(spark):
+    from mailgrain.llm.common import spread_join
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id ELSE id % 50 END AS k")
+    table = spark.range(0, 2900).selectExpr("id AS k", "id * 2 AS v")
+    for part in (rows, rows.where("false")):
+        counts = part.groupBy("k").agg(F.count("*").alias("n"))
+        got = spread_join(part, table, "k", counts, "id").select("id", "k", "v")
+        want = part.join(table, "k").select("id", "k", "v")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
