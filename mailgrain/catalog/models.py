@@ -1,7 +1,11 @@
 """Queries of sources, sinks, streaming and fitted models."""
 
-from pyspark.sql import functions as F
+from dataclasses import replace
+from functools import partial, reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions import headers as hd
@@ -11,6 +15,7 @@ from ..functions.text import source_from_file_name
 from ..models.rule_transformer import RuleFeatures
 from ..models import text_model as tm
 from ..operators import curves as cv
+from ..operators import similarity as sim
 from ..operators import splits as sp
 from ..session import durable
 from ..sources import archives as ar
@@ -189,7 +194,6 @@ def rule_transformer(t):
 
 
 WHOLE = tm.ModelOptions(feature_version=3)  # words, characters and rules
-LEAN = tm.ModelOptions(use_char=False, feature_version=3, max_iter=25)  # for the queries that fit once per fold or block
 
 
 def _labelled(t):
@@ -214,12 +218,18 @@ def _auc(scored):
 
 @query("m3_block_ablation", None)
 def block_ablation(t):
-    """Rules only, words only, words and rules."""
-    out = None
-    for name, options in (("rules", tm.ModelOptions(use_text=False, feature_version=3, max_iter=25)), ("words", tm.ModelOptions(use_char=False, use_rules=False, max_iter=25)), ("words and rules", LEAN)):
-        part = _auc(_fit_and_score(t, options)[2]).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every block alone and together, on the same split."""
+    train, test = _split(t)
+    prepared = tm.prepare(train.unionByName(test), WHOLE)
+    held = test.select("doc_id", "label")
+    blocks = {"rules": dict(use_text=False), "words": dict(use_char=False, use_rules=False), "words and characters": dict(use_rules=False),
+              "words and rules": dict(use_char=False), "words, characters and rules": {}}
+
+    def judged(name):
+        model = tm.TextModel(replace(WHOLE, **blocks[name])).fit(prepared, train)
+        return _auc(durable(model.raw_scores(prepared, held).join(held, "doc_id"))).withColumn("model", F.lit(name))
+
+    return reduce(DataFrame.unionByName, tm.side_by_side([partial(judged, name) for name in blocks]))
 
 
 @query("m5_logistic_regression", None)
@@ -244,12 +254,21 @@ def scores_and_verdicts(t):
     return scored.select("doc_id", F.round("score", 6).alias("score"), (F.col("score") >= model.threshold).alias("is_phishing"))
 
 
+def _grouped(t):
+    """Labelled mails with their near-copy group."""
+    mails = durable(_labelled(t))
+    return durable(mails.join(sim.near_copy_groups(mails, "doc_id"), "doc_id"))
+
+
+def _out_of_fold(mails, prepared):
+    folded = durable(sp.grouped_folds(mails.select("doc_id", "grp", "label"), "grp", "label", 5).select("doc_id", "label", "fold"))
+    return tm.oof_scores(prepared, folded, WHOLE, 5)
+
+
 @query("m9_out_of_fold_scores", None)
 def out_of_fold(t):
-    mails = _labelled(t)
-    prepared = tm.prepare(mails, LEAN)
-    folded = durable(sp.grouped_folds(mails.select("doc_id", "source", "label"), "source", "label", 3).select("doc_id", "label", "fold"))
-    return tm.oof_scores(prepared, folded, LEAN, 3).select("doc_id", "label", "fold", F.round("score", 6).alias("score"))
+    mails = _grouped(t)
+    return _out_of_fold(mails, tm.prepare(mails, WHOLE)).select("doc_id", "label", "fold", F.round("score", 6).alias("score"))
 
 
 @query("m10_platt_fit", None)
@@ -258,29 +277,29 @@ def platt_fit(t):
     return t.scored.select("doc_id", F.round(platt(F.col("score_a"), slope, intercept), 6).alias("probability"))
 
 
-def cv_model(t):
-    return tm.fit_with_cv_threshold(_labelled(t), LEAN, "source", folds=3)
-
-
 @query("m11_cv_threshold", None)
 def cv_threshold(t):
     """Grouped folds, calibration, plateau threshold, refit; then the model scores its own mails."""
-    model, prepared, _ = cv_model(t)
-    return model.scores(prepared, _labelled(t)).select("doc_id", F.round("score", 6).alias("score"), F.lit(model.threshold).alias("threshold"))
+    model, prepared, _ = tm.fit_with_cv_threshold(_grouped(t), WHOLE, "grp")
+    return model.scores(prepared, prepared.rows).select("doc_id", F.round("score", 6).alias("score"), F.lit(model.threshold).alias("threshold"))
 
 
 @query("m12_fit_methods", None)
 def fit_methods(t):
-    """Threshold by a fit on one slice judged on another, by the peak of the fold curves and by the plateau."""
-    oof = out_of_fold(t)
-    curve = cv.f1_grid_curve(oof, "score")
-    parts = durable(sp.group_split(_labelled(t).select("doc_id", "source", "label"), "source"))
-    prepared = tm.prepare(_labelled(t), LEAN)
-    held = parts.where("part = 1").select("doc_id", "label")
-    judged = tm.TextModel(LEAN).fit(prepared, parts.where("part = 0")).raw_scores(prepared, held).join(held, "doc_id")
+    """Threshold by a fit on one slice judged on another, by the peak of the fold curves and by the plateau.
+
+    Every method refits on all mails; `flagged` counts the mails that its final model flags.
+    """
+    mails = _grouped(t)
+    prepared = tm.prepare(mails, WHOLE)
+    parts = durable(sp.group_split(mails.select("doc_id", "grp", "label"), "grp"))
+    oof, held = _out_of_fold(mails, prepared), parts.where("part = 1").select("doc_id", "label")
+    judged = tm.TextModel(WHOLE).fit(prepared, parts.where("part = 0")).raw_scores(prepared, held).join(held, "doc_id")
+    curve = durable(cv.f1_grid_curve(oof, "score"))
     val = cv.curve_summary(cv.score_curve(judged)).select(F.lit("val").alias("method"), F.col("best_f1_threshold").alias("threshold"))
-    both = [cv.plateau_threshold(curve, rule=r).select(F.lit(r).alias("method"), "threshold") for r in ("max", "plateau")]
-    return val.unionByName(both[0]).unionByName(both[1])
+    chosen = reduce(DataFrame.unionByName, [cv.plateau_threshold(curve, rule=r).select(F.lit(r).alias("method"), "threshold") for r in ("max", "plateau")], val)
+    final = durable(tm.TextModel(WHOLE).fit(prepared, mails).raw_scores(prepared, mails))
+    return final.join(F.broadcast(durable(chosen)), F.col("score") >= F.col("threshold"), "right").groupBy("method", "threshold").agg(F.count("doc_id").alias("flagged"))
 
 
 @query("s13_model_round_trip", None)

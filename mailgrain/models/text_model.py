@@ -1,32 +1,35 @@
 """Text classifiers on MLlib: word and character TF-IDF joined with bounded rule features."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, NaiveBayes
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.base import let
 from ..functions.features import feature_names, scaling_statistics, standardise_and_clip, with_features
 from ..functions.policy import platt
 from ..functions.text import clean_text, format_normalised_text, model_tokens_text
 from ..operators import tfidf as tf
 from ..operators.curves import f1_grid_curve, plateau_threshold
 from ..operators.linear import explain as explain_terms
+from ..operators.linear import sigmoid
 from ..operators.metrics import calibration
 from ..operators.splits import grouped_folds
 from ..session import durable
-from ..sources.folders import shared_folder
 
 CLEAN_STEPS = ("reply", "dates", "format")
 CLASSIFIERS = ("logreg", "svm", "nb")
-ROWS_PER_TASK = 2000
+ENTRIES_PER_TASK = 4_000_000
+METADATA = "feature_schema int, threshold double, vocab_size int, bias double, slope double, intercept double, options string, meta string"
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,8 @@ class ModelOptions:
     use_rules: bool = True
     feature_version: int = 2
     C: float = 16.0
-    max_features: int = 50000
+    max_features: int | None = None  # no limit unless set
+    dictionary_size: int = 2**31 - 1
     char_ngram: tuple = (2, 5)
     stop_words: tuple = ()
     clean: tuple = ()
@@ -57,181 +61,255 @@ class ModelOptions:
 
 @dataclass
 class Prepared:
-    """Model-independent inputs of a set of mails: term counts and raw rule features."""
-    mails: DataFrame
-    terms: DataFrame | None
-    rules: DataFrame | None
+    """Model-independent inputs of a set of mails, one row each: counted terms as sparse vectors and raw rule features.
+
+    `counters` holds the dictionary of every text block. A dictionary, like the coefficients of a model, must fit the driver;
+    `ModelOptions.dictionary_size` bounds it where the corpus would make it larger.
+    """
+    rows: DataFrame
+    counters: dict
     id_column: str
 
 
-def prepare(df: DataFrame, options: ModelOptions, id_column: str = "doc_id", text: str = "text") -> Prepared:
-    """Count terms and compute rule features once; folds and refits only aggregate and join these tables."""
+BLOCKS = {"word": (2, 0.95), "char": (3, 1.0)}  # least number and greatest share of mails with a term
+
+
+def prepare(df: DataFrame, options: ModelOptions, id_column: str = "doc_id", text: str = "text", counters: dict | None = None, keep: bool = True) -> Prepared:
+    """Count terms and compute rule features once; fits only aggregate these rows.
+
+    `counters` of a fitted model are used as they are, and without `keep` nothing is written: counting is then a narrow stage.
+    """
     steps = set(options.clean)
     mails = df
     if steps & {"reply", "dates"}:
         mails = mails.withColumn(text, clean_text(F.col(text), "reply" in steps, "dates" in steps))
-    clean = (format_normalised_text if "format" in steps else model_tokens_text)(F.col(text))
-    terms = rules = None
-    if options.use_text:
-        tokens = mails.select(id_column, clean.alias("clean"))
-        words = tf.postings(tokens, id_column, tf.with_bigrams(tf.word_tokens(F.col("clean"), options.stop_words)))
-        terms = words.withColumn("term", F.concat(F.lit("word__"), "term"))
-        if options.use_char:
-            grams = tf.postings(tokens, id_column, tf.char_grams(F.col("clean"), *options.char_ngram))
-            terms = terms.unionByName(grams.withColumn("term", F.concat(F.lit("char__"), "term")))
-        terms = durable(terms)
+    columns = [id_column]
+    rows = mails.select(id_column, text)
+    found = dict(counters or {})
     if options.use_rules:
         names = feature_names(options.feature_version)
-        rules = durable(with_features(mails.select(id_column, text), options.feature_version, text).select(id_column, *names))
-    return Prepared(mails.drop(text), terms, rules, id_column)
-
-
-@F.pandas_udf(VectorUDT())
-def _sparse(indices: pd.Series, values: pd.Series, size: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"type": 0, "size": size, "indices": indices, "values": values})
+        rows = with_features(rows, options.feature_version, text).select(id_column, text, *names)
+        columns += names
+    if options.use_text:
+        clean = (format_normalised_text if "format" in steps else model_tokens_text)(F.col(text))
+        rows = rows.withColumn("_clean", clean)
+        tokens = {"word": tf.with_bigrams(tf.word_tokens(F.col("_clean"), options.stop_words))}
+        if options.use_char:
+            tokens["char"] = tf.char_grams(F.col("_clean"), *options.char_ngram)
+        for block, listed in tokens.items():
+            terms = F.coalesce(listed, F.array().cast("array<string>"))
+            if block not in found:
+                counter = CountVectorizer(inputCol=f"_{block}", outputCol=block, minDF=float(BLOCKS[block][0]), vocabSize=options.dictionary_size)
+                found[block] = counter.fit(mails.select(clean.alias("_clean")).select(terms.alias(f"_{block}")))
+            rows = found[block].transform(rows.withColumn(f"_{block}", terms)).drop(f"_{block}")
+            columns.append(block)
+    rows = rows.select(*columns)
+    return Prepared(durable(rows) if keep else rows, found, id_column)
+
+
+def _entries(blocks, offset, counted, dense):
+    """(positions, weights) of one mail: sublinear tf-idf, every text block of length one, then the dense features."""
+    positions, weights = [], []
+    for (idf, place), indices, counts in zip(blocks, counted[::2], counted[1::2]):
+        w = (1.0 + np.log(counts)) * idf[indices]
+        inside = w > 0
+        if inside.any():
+            positions.append(place[indices[inside]])
+            weights.append(w[inside] / np.sqrt(w[inside] @ w[inside]))
+    return np.concatenate([*positions, np.arange(offset, offset + len(dense))]).astype(np.int32), np.concatenate([*weights, dense])
 
 
 @dataclass
 class TextModel:
     options: ModelOptions
-    vocab: DataFrame | None = None
+    counters: dict | None = None
+    blocks: dict | None = None  # block -> (idf by dictionary place, 0 outside the vocabulary; vector position by place)
     vocab_size: int = 0
     scaling: dict | None = None
-    classifier: object = None
+    weights: np.ndarray | None = None
+    bias: float = 0.0
     slope: float | None = None
     intercept: float | None = None
     threshold: float = 0.5
     meta: dict | None = None
 
     # ------------------------------------------------------------ features
-    def _fit_vocabulary(self, terms: DataFrame, n_docs):
-        o = self.options
-        blocks = [("word__", 2, 0.95)] + ([("char__", 3, 1.0)] if o.use_char else [])
-        parts = [tf.vocabulary(terms.where(F.col("term").startswith(p)), n_docs, low, high, o.max_features) for p, low, high in blocks]
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        # at most two capped blocks: one small sort gives the vector positions
-        numbered = both.select("term", "idf", (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
-        self.vocab = durable(numbered)
-        self.vocab_size = self.vocab.count()
-
-    def vectors(self, prepared: Prepared, ids: DataFrame) -> DataFrame:
-        """(id, features) for the given ids: text blocks of unit length, then scaled and clipped rule features."""
-        key = prepared.id_column
-        entries = F.array().cast("array<struct<idx:int,w:double>>")
-        out = ids.select(key)
-        if self.options.use_text:
-            hits = prepared.terms.join(F.broadcast(self.vocab), "term").select(  # capped by max_features per block
-                key, F.substring("term", 1, 4).alias("_b"), "idx", ((1.0 + F.ln("n")) * F.col("idf")).alias("w"))
-            rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "w", "_b"))).alias("_e"))
-
-            def unit(e):
-                def norm(block):
-                    return F.sqrt(F.aggregate(F.filter(e, lambda x: x["_b"] == block), F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-                return let(F.struct(norm("word").alias("word"), norm("char").alias("char")), lambda n: F.transform(e, lambda x: F.struct(
-                    x["idx"].alias("idx"), (x["w"] / F.when(x["_b"] == "word", n["word"]).otherwise(n["char"])).alias("w"))))
-            out = out.join(rows.select(key, let(F.col("_e"), unit).alias("_e")), key, "left")
-            entries = F.coalesce(F.col("_e"), entries)
-        size = self.vocab_size
+    def _block_names(self):
+        return [b for b in BLOCKS if self.options.use_text and (b == "word" or self.options.use_char)]
+
+    def _fit_vocabulary(self, rows: DataFrame, counters: dict, n: int):
+        """Document frequencies and totals come from one aggregation of the count vectors."""
+        names = self._block_names()
+        seen = rows.select(*[Summarizer.metrics("numNonZeros", "sum").summary(F.col(b)).alias(b) for b in names]).first()
+        self.counters, self.blocks, self.vocab_size, self.meta = {b: counters[b] for b in names}, {}, 0, {"entries": 0}
+        for b in names:
+            df, total = seen[b].numNonZeros.toArray(), seen[b].sum.toArray()
+            low, high = BLOCKS[b]
+            keep = (df >= low) & (df <= high * n)
+            terms = np.array(counters[b].vocabulary, dtype=object)
+            if b == "char":  # the dictionary may hold shorter or longer n-grams for other fits
+                size = np.array([len(t) for t in terms])
+                keep &= (size >= self.options.char_ngram[0]) & (size <= self.options.char_ngram[1])
+            chosen = np.flatnonzero(keep)
+            if self.options.max_features is not None and len(chosen) > self.options.max_features:  # largest totals, ties by term
+                ranked = sorted(chosen, key=lambda i: (-total[i], terms[i]))
+                chosen = np.sort(ranked[:self.options.max_features])
+            idf, place = np.zeros(len(terms)), np.zeros(len(terms), dtype=np.int32)
+            idf[chosen] = np.log((1.0 + n) / (1.0 + df[chosen])) + 1.0
+            place[chosen] = self.vocab_size + np.arange(len(chosen))
+            self.blocks[b] = (idf, place)
+            self.vocab_size += len(chosen)
+            self.meta["entries"] += float(df[chosen].sum())
+
+    def _inputs(self, rows: DataFrame):
+        """Columns behind a vector: places and counts of every block, then the scaled and clipped rule features."""
+        dense = F.array().cast("array<double>")
         if self.options.use_rules:
             names = feature_names(self.options.feature_version)
-            if self.options.feature_version >= 2:
-                scaled = standardise_and_clip(prepared.rules, names, stats=self.scaling)
-            else:
-                scaled = standardise_and_clip(prepared.rules, names, limit=float("inf"), stats=self.scaling)
-            out = out.join(scaled, key)
-            dense = F.array(*[F.struct(F.lit(size + i).alias("idx"), F.col(n).alias("w")) for i, n in enumerate(names)])
-            entries = F.concat(entries, dense)
-            size += len(names)
-        out = out.select(key, entries.alias("_e"))
-        return out.select(key, _sparse(F.transform("_e", lambda x: x["idx"]), F.transform("_e", lambda x: x["w"]), F.lit(size)).alias("features"))
+            limit = {} if self.options.feature_version >= 2 else {"limit": float("inf")}
+            rows = standardise_and_clip(rows, names, stats=self.scaling, **limit)
+            dense = F.array(*[F.col(n).cast("double") for n in names])
+        parts = [F.unwrap_udt(b)[field] for b in self._block_names() for field in ("indices", "values")]
+        return rows, [*parts, dense]
+
+    def _vector_udf(self):
+        blocks, offset = [self.blocks[b] for b in self._block_names()], self.vocab_size
+        size = offset + (len(feature_names(self.options.feature_version)) if self.options.use_rules else 0)
+
+        @F.pandas_udf(VectorUDT())
+        def vector(*parts: pd.Series) -> pd.DataFrame:
+            made = [_entries(blocks, offset, row[:-1], row[-1]) for row in zip(*parts)]
+            return pd.DataFrame({"type": 0, "size": size, "indices": [i for i, _ in made], "values": [w for _, w in made]})
+        return vector
+
+    def _margin_udf(self):
+        blocks, offset = [self.blocks[b] for b in self._block_names()], self.vocab_size
+        weights, bias = self.weights, self.bias
+
+        @F.pandas_udf("double")
+        def margin(*parts: pd.Series) -> pd.Series:
+            made = (_entries(blocks, offset, row[:-1], row[-1]) for row in zip(*parts))
+            return pd.Series([float(w @ weights[i]) + bias for i, w in made], dtype="float64")
+        return margin
 
     # ------------------------------------------------------------ fit and score
-    def fit(self, prepared: Prepared, labels: DataFrame) -> "TextModel":
-        """`labels`: (id, label) of the training mails; vocabulary, scaling and weights come from these only."""
+    def fit(self, prepared: Prepared, labels: DataFrame, partitions: int | None = None) -> "TextModel":
+        """`labels`: (id, label) of the training mails; vocabulary, scaling and weights come from these only.
+
+        `partitions` sets how many tasks an iteration of the solver has; by default one for every `ENTRIES_PER_TASK` vector entries.
+        """
         key, o = prepared.id_column, self.options
-        ids = durable(labels.select(key, "label"))
-        counts = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
+        rows = prepared.rows.join(labels.select(key, F.col("label").cast("double").alias("label")), key)
+        rows = rows.persist()
+        counts = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
         n = sum(counts.values())
-        inside = Prepared(prepared.mails, None, None, key)
         if o.use_text:
-            inside.terms = prepared.terms.join(ids.select(key), key, "left_semi")
-            self._fit_vocabulary(inside.terms, F.lit(float(n)))
+            self._fit_vocabulary(rows, prepared.counters, n)
+        else:
+            self.blocks, self.counters, self.meta = {}, {}, {"entries": 0}
         if o.use_rules:
-            inside.rules = prepared.rules.join(ids.select(key), key, "left_semi")
-            self.scaling = scaling_statistics(inside.rules, feature_names(o.feature_version)).first().asDict()
+            self.scaling = scaling_statistics(rows, feature_names(o.feature_version)).first().asDict()
         weight = F.when(F.col("label") == 1, n / (2.0 * counts.get(1, n))).otherwise(n / (2.0 * counts.get(0, n)))
-        rows = self.vectors(inside, ids).join(ids, key).select("features", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-        # a solver runs one job per iteration: small training sets must not pay for empty partitions
-        rows = rows.coalesce(n // ROWS_PER_TASK + 1).persist()
-        if o.classifier == "logreg":
-            estimator = LogisticRegression(weightCol="weight", regParam=1.0 / (o.C * n), elasticNetParam=0.0, standardization=False, maxIter=o.max_iter, tol=1e-5)
-        elif o.classifier == "svm":
-            estimator = LinearSVC(weightCol="weight", regParam=1.0 / (0.5 * n), standardization=False, maxIter=o.max_iter, tol=1e-5)
-        else:
-            estimator = NaiveBayes(modelType="complement", smoothing=0.3)
-        self.classifier = _without_summary(estimator.fit(rows))
+        scaled, inputs = self._inputs(rows)
+        vectors = scaled.select(self._vector_udf()(*inputs).alias("features"), "label", weight.alias("weight"))
+        # the solver runs one job per iteration: its tasks should be few and of equal size
+        entries = self.meta["entries"] + n * len(feature_names(o.feature_version)) * o.use_rules
+        vectors = vectors.repartition(partitions or int(entries // ENTRIES_PER_TASK) + 1).persist()
+        self._solve(vectors, n)
+        vectors.unpersist()
         rows.unpersist()
-        self.meta = {"phishing_share_in_training": round(counts.get(1, 0) / n, 4), "rows": n}
+        self.meta |= {"phishing_share_in_training": round(counts.get(1, 0) / n, 4), "rows": n}
         return self
 
+    def _solve(self, vectors: DataFrame, n: int):
+        o = self.options
+        if o.classifier == "nb":
+            fitted = NaiveBayes(modelType="complement", smoothing=0.3).fit(vectors)
+            theta = fitted.theta.toArray()
+            self.weights, self.bias = theta[1] - theta[0], 0.0
+            return
+        common = dict(weightCol="weight", standardization=False, maxIter=o.max_iter, tol=1e-5)
+        if o.classifier == "logreg":
+            fitted = LogisticRegression(regParam=1.0 / (o.C * n), elasticNetParam=0.0, **common).fit(vectors)
+        else:
+            fitted = LinearSVC(regParam=1.0 / (0.5 * n), **common).fit(vectors)
+        self.weights, self.bias = fitted.coefficients.toArray(), float(fitted.intercept)
+
+    def _scored(self, rows: DataFrame, key: str) -> DataFrame:
+        scaled, inputs = self._inputs(rows)
+        margin = self._margin_udf()(*inputs)
+        return scaled.select(key, (margin if self.options.classifier == "svm" else sigmoid(margin)).alias("score"))
+
     def raw_scores(self, prepared: Prepared, ids: DataFrame) -> DataFrame:
         """(id, score): probability of class 1, or the margin of the linear SVM."""
-        column = "rawPrediction" if self.options.classifier == "svm" else "probability"
-        scored = self.classifier.transform(self.vectors(prepared, ids))
-        return scored.select(prepared.id_column, F.get(vector_to_array(column), F.lit(1)).alias("score"))
+        return self._scored(prepared.rows.join(ids.select(prepared.id_column), prepared.id_column, "left_semi"), prepared.id_column)
 
-    def scores(self, prepared: Prepared, ids: DataFrame) -> DataFrame:
-        raw = self.raw_scores(prepared, ids)
+    def _calibrated(self, raw: DataFrame) -> DataFrame:
         return raw if self.slope is None else raw.withColumn("score", platt(F.col("score"), self.slope, self.intercept))
 
-    def coefficients(self) -> DataFrame:
-        """(term, coef): names of the vocabulary and the rule features with their weights."""
-        spark = self.classifier_session()
-        names = [f"rules__{n}" for n in feature_names(self.options.feature_version)] if self.options.use_rules else []
-        weights = self.classifier.coefficients.toArray()
-        table = spark.createDataFrame(pd.DataFrame({"idx": range(len(weights)), "coef": weights}))  # bounded by max_features
-        positions = spark.createDataFrame([(self.vocab_size + i, n) for i, n in enumerate(names)], "idx int, term string")
-        terms = self.vocab.select("idx", "term").unionByName(positions) if self.options.use_text else positions
-        return table.join(terms, "idx").select("term", "coef")
-
-    @staticmethod
-    def classifier_session() -> SparkSession:
-        return SparkSession.getActiveSession()
+    def scores(self, prepared: Prepared, ids: DataFrame) -> DataFrame:
+        return self._calibrated(self.raw_scores(prepared, ids))
+
+    def score_mails(self, mails: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+        """Scores of mails the model has never seen: one narrow stage, no shuffle."""
+        prepared = prepare(mails, self.options, id_column, text, self.counters, keep=False)
+        return self._calibrated(self._scored(prepared.rows, id_column))
+
+    # ------------------------------------------------------------ what a model says
+    def _dictionaries(self):
+        return list((self.blocks or {}).items())
+
+    def coefficients(self, spark: SparkSession | None = None) -> DataFrame:
+        """(idx, term, coef): the vocabulary and the rule features with their weights."""
+        spark = spark or SparkSession.getActiveSession()
+        names = sorted(self._named())
+        table = pd.DataFrame({"idx": [i for i, _ in names], "term": [t for _, t in names], "coef": self.weights[[i for i, _ in names]]})
+        return spark.createDataFrame(table, "idx int, term string, coef double")
+
+    def _named(self):
+        out = []
+        for b, (idf, place) in self._dictionaries():
+            terms = self.counters[b].vocabulary
+            out += [(int(place[i]), f"{b}__{terms[i]}") for i in np.flatnonzero(idf)]
+        rules = feature_names(self.options.feature_version) if self.options.use_rules else []
+        return out + [(self.vocab_size + i, f"rules__{n}") for i, n in enumerate(rules)]
 
     def weights_table(self, prepared: Prepared) -> DataFrame:
         """(id, term, w) of every mail: the values behind the vectors; rule features only where the raw value is not 0."""
         key = prepared.id_column
-        out = None
-        if self.options.use_text:
-            hits = prepared.terms.join(F.broadcast(self.vocab), "term").withColumn("_w", (1.0 + F.ln("n")) * F.col("idf"))
-            block = Window.partitionBy(key, F.substring("term", 1, 4))
-            out = hits.select(key, "term", (F.col("_w") / F.sqrt(F.sum(F.col("_w") ** 2).over(block))).alias("w"))
-        if self.options.use_rules:
-            names = feature_names(self.options.feature_version)
-            scaled = standardise_and_clip(prepared.rules, names, stats=self.scaling)
-            raw = prepared.rules.select(key, *[(F.col(n) != 0).alias(f"_on_{n}") for n in names])
-            rows = F.array(*[F.struct(F.lit(f"rules__{n}").alias("term"), F.col(n).alias("w"), F.col(f"_on_{n}").alias("on")) for n in names])
-            rules = scaled.join(raw, key).select(key, F.explode(rows).alias("r")).where("r.on").select(key, "r.term", "r.w")
-            out = rules if out is None else out.unionByName(rules)
-        return out
+        names = feature_names(self.options.feature_version) if self.options.use_rules else []
+        blocks, offset = [self.blocks[b] for b in self._block_names()], self.vocab_size
+        raised = prepared.rows.withColumn("_on", F.array(*[F.col(n) != 0 for n in names]) if names else F.array().cast("array<boolean>"))
+        scaled, inputs = self._inputs(raised)
+
+        @F.pandas_udf("array<struct<idx:int,w:double>>")
+        def entries(*parts: pd.Series) -> pd.Series:
+            made = (_entries(blocks, offset, row[:-1], row[-1]) for row in zip(*parts))
+            return pd.Series([[{"idx": int(a), "w": float(b)} for a, b in zip(i, w)] for i, w in made])
+        rows = scaled.select(key, "_on", F.explode(entries(*inputs)).alias("e"))
+        shown = (F.col("e.idx") < offset) | F.coalesce(F.get("_on", F.col("e.idx") - offset), F.lit(False))
+        terms = self.coefficients(prepared.rows.sparkSession).select("idx", "term")
+        return rows.where(shown).select(key, F.col("e.idx").alias("idx"), F.col("e.w").alias("w")).join(terms, "idx").select(key, "term", "w")
 
     def explain(self, prepared: Prepared, k: int = 5) -> DataFrame:
-        return explain_terms(self.weights_table(prepared), self.coefficients(), prepared.id_column, k)
+        return explain_terms(self.weights_table(prepared), self.coefficients(prepared.rows.sparkSession).drop("idx"), prepared.id_column, k)
 
     # ------------------------------------------------------------ persistence
     def save(self, path: str) -> None:
-        if not isinstance(self.classifier, LogisticRegressionModel):
+        """Dictionaries, vocabulary, scaling, weights and settings below one folder."""
+        if self.options.classifier != "logreg":
             raise ValueError("only the production classifier is saved")
-        spark = self.classifier_session()
-        self.classifier.write().overwrite().save(f"{path}/classifier")
-        if self.vocab is not None:
-            self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        spark = SparkSession.getActiveSession()
+        for b, (idf, place) in self._dictionaries():
+            self.counters[b].write().overwrite().save(f"{path}/dictionary_{b}")
+            spark.createDataFrame(pd.DataFrame({"idf": idf, "place": place}).reset_index(names="slot")).write.mode("overwrite").parquet(f"{path}/vocabulary_{b}")
         if self.scaling is not None:
             spark.createDataFrame([self.scaling]).write.mode("overwrite").parquet(f"{path}/scaling")
-        row = {"feature_schema": lx.FEATURE_SCHEMA, "threshold": float(self.threshold), "vocab_size": self.vocab_size,
+        weights = pd.DataFrame({"coef": self.weights}).reset_index(names="idx")
+        spark.createDataFrame(weights).write.mode("overwrite").parquet(f"{path}/weights")
+        row = {"feature_schema": lx.FEATURE_SCHEMA, "threshold": float(self.threshold), "vocab_size": self.vocab_size, "bias": self.bias,
                "slope": self.slope, "intercept": self.intercept, "options": json.dumps(asdict(self.options)), "meta": json.dumps(self.meta or {})}
-        spark.createDataFrame([row], "feature_schema int, threshold double, vocab_size int, slope double, intercept double, options string, meta string").write.mode(
-            "overwrite").parquet(f"{path}/metadata")
+        spark.createDataFrame([row], METADATA).write.mode("overwrite").parquet(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TextModel":
@@ -239,34 +317,40 @@ class TextModel:
         if row.feature_schema != lx.FEATURE_SCHEMA:
             raise ValueError(f"model {path} was saved with feature schema {row.feature_schema}, this code uses {lx.FEATURE_SCHEMA}: train it again")
         stored = json.loads(row.options)
-        options = ModelOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()})
-        return cls(options, spark.read.parquet(f"{path}/vocabulary") if options.use_text else None, row.vocab_size,
-                   spark.read.parquet(f"{path}/scaling").first().asDict() if options.use_rules else None,
-                   LogisticRegressionModel.load(f"{path}/classifier"), row.slope, row.intercept, row.threshold, json.loads(row.meta))
-
-
-def _without_summary(fitted):
-    """The fitted model as stored: the training summary holds the session and must not travel with the scoring tasks."""
-    path = shared_folder(TextModel.classifier_session(), "fit")
-    fitted.write().save(path)
-    return type(fitted).load(path)
+        model = cls(ModelOptions(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()}))
+        model.counters, model.blocks = {}, {}
+        for b in model._block_names():
+            model.counters[b] = CountVectorizerModel.load(f"{path}/dictionary_{b}")
+            table = spark.read.parquet(f"{path}/vocabulary_{b}").toPandas().sort_values("slot")  # a model, bounded by its dictionary
+            model.blocks[b] = (table["idf"].to_numpy(), table["place"].to_numpy(np.int32))
+        if model.options.use_rules:
+            model.scaling = spark.read.parquet(f"{path}/scaling").first().asDict()
+        model.weights = spark.read.parquet(f"{path}/weights").toPandas().sort_values("idx")["coef"].to_numpy()
+        model.vocab_size, model.bias, model.slope, model.intercept = row.vocab_size, row.bias, row.slope, row.intercept
+        model.threshold, model.meta = row.threshold, json.loads(row.meta)
+        return model
+
+
+def side_by_side(jobs, at_once: int = 5) -> list:
+    """Results of independent jobs, submitted together so that Spark fills its slots from all of them."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: job(), jobs))
 
 
 def oof_scores(prepared: Prepared, folded: DataFrame, options: ModelOptions, folds: int) -> DataFrame:
     """(id, label, fold, score): every mail scored by a model that has seen neither it nor its group.
 
-    `folded` has (id, label, fold). The driver only loops over the fold numbers.
+    `folded` has (id, label, fold). The folds are fitted side by side.
     """
     key = prepared.id_column
-    parts = []
-    for k in range(folds):
+
+    def one_fold(k):
         test = folded.where(F.col("fold") == k)
         model = TextModel(options).fit(prepared, folded.where(F.col("fold") != k))
-        parts.append(durable(model.raw_scores(prepared, test).join(test.select(key, "label", "fold"), key)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return durable(model.raw_scores(prepared, test).join(test.select(key, "label", "fold"), key))
+
+    parts = side_by_side([partial(one_fold, k) for k in range(folds)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fit_platt(scored: DataFrame, score: str = "score", label: str = "label") -> tuple[float, float]:
@@ -275,8 +359,8 @@ def fit_platt(scored: DataFrame, score: str = "score", label: str = "label") ->
     rows = VectorAssembler(inputCols=["z"], outputCol="features").transform(
         scored.select(F.ln(p / (1 - p)).alias("z"), F.col(label).cast("double").alias("label")))
     rows = rows.select("features", "label").persist()
-    rows = rows.coalesce(rows.count() // (100 * ROWS_PER_TASK) + 1)  # one number per row
     fitted = LogisticRegression(regParam=1e-9, standardization=False, maxIter=100, tol=1e-9).fit(rows)
+    rows.unpersist()
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 

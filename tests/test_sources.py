@@ -120,11 +120,14 @@ def test_model_learns_saves_and_refuses_other_schemas(spark, tmp_path):
     assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
     top = model.explain(prepared, 2).where("doc_id = 1").collect()
     assert top and all(r.contribution > 0 for r in top)
+    fresh = model.score_mails(df)
+    assert "Exchange" not in fresh._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.score for r in fresh.collect()} == pytest.approx(scores)
     model.save(str(tmp_path / "m"))
     again = {r.doc_id: r.score for r in tm.TextModel.load(spark, str(tmp_path / "m")).scores(prepared, df).collect()}
     assert again == pytest.approx(scores)
     meta = spark.read.parquet(str(tmp_path / "m/metadata")).withColumn("feature_schema", F.lit(1)).toPandas()
-    spark.createDataFrame(meta, "feature_schema int, threshold double, vocab_size int, slope double, intercept double, options string, meta string").write.mode("overwrite").parquet(str(tmp_path / "m/metadata"))
+    spark.createDataFrame(meta, tm.METADATA).write.mode("overwrite").parquet(str(tmp_path / "m/metadata"))
     with pytest.raises(ValueError, match="schema"):
         tm.TextModel.load(spark, str(tmp_path / "m"))
 
