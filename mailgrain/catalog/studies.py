@@ -1,8 +1,8 @@
-"""Queries of the composite analyses.
+"""Queries of the composite analyses, with the production model: words, characters, rules and near-copy groups."""
 
-Model studies are registered with the rule-feature classifier, which trains in seconds; the same functions take
-any `ModelOptions`, including the full text model.
-"""
+from dataclasses import replace
+from functools import partial
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.features import with_url_features
 from ..functions.privacy import mask_personal
 from ..functions.rules import with_rules
+from ..functions.stats import mcnemar_p
 from ..models import text_model as tm
 from ..operators import curves as cv
 from ..operators import joins as jn
@@ -49,10 +50,26 @@ def _labelled(t):
     return t.mail.where("label IS NOT NULL").select("doc_id", "source", "lang", "label", "text")
 
 
-def _inputs(t, version=4):
-    """Labelled mails and their rule features; a higher version holds every lower one's columns."""
+MAIN = tm.ModelOptions(feature_version=3)
+VARIANTS = {
+    "rules LR": replace(MAIN, use_text=False), "text NB": replace(MAIN, classifier="nb", use_rules=False),
+    "text SVM": replace(MAIN, classifier="svm", use_rules=False), "text LR": replace(MAIN, use_rules=False),
+    "text and rules SVM": replace(MAIN, classifier="svm"), "text and rules LR": MAIN}
+
+
+def _grouped(t):
     mails = durable(_labelled(t))
-    return mails, tm.prepare(mails, sd.rules_only(version))
+    return durable(mails.join(sim.near_copy_groups(mails, "doc_id"), "doc_id"))
+
+
+def _inputs(t, version=4):
+    """Labelled mails with their near-copy group, and the model inputs; a higher version holds every lower one's columns."""
+    mails = _grouped(t)
+    return mails, tm.prepare(mails, replace(MAIN, feature_version=version))
+
+
+def _rule_scores(mails):
+    return with_rules(mails.select("doc_id", "text")).select("doc_id", F.col("score").alias("rule_score"))
 
 
 @query("q1_corpus_preparation", None)
@@ -65,61 +82,85 @@ def corpus_preparation(t):
 
 @query("q2_model_comparison", None)
 def model_comparison(t):
-    mails, prepared = _inputs(t)
-    variants = {f"rules v{v}": sd.rules_only(v) for v in (2, 3)}
-    rules = with_rules(mails.select("doc_id", "text")).select("doc_id", F.col("score").alias("rule_score"))
-    return sd.compare_models(mails.drop("text"), prepared, variants, "source", rules)
+    mails, prepared = _inputs(t, 3)
+    return sd.compare_models(mails.drop("text"), prepared, VARIANTS, "grp", durable(_rule_scores(mails)), "text and rules LR")
 
 
 @query("q3_fold_report", None)
 def fold_report(t):
-    mails, prepared = _inputs(t)
-    return sd.fold_report(mails.drop("text"), prepared, sd.rules_only(3), "source", 3)
+    mails, prepared = _inputs(t, 3)
+    return sd.fold_report(mails.drop("text"), prepared, MAIN, "grp")
 
 
 @query("q4_cross_corpus", None)
 def cross_corpus(t):
-    mails, prepared = _inputs(t)
+    """Every variant trained on English mail and tested on all other mail, and the other way round."""
+    mails, prepared = _inputs(t, 3)
     en, other = mails.where("lang = 'en'"), mails.where("lang <> 'en'")
-    return sd.stack([sd.transfer(prepared, en, other, sd.rules_only(3), "en"), sd.transfer(prepared, other, en, sd.rules_only(3), "other")])
+    ways = {"en": (en, other), "other": (other, en)}
+    jobs = [partial(sd.transfer, prepared, *ways[way], VARIANTS[name], f"{way}: {name}") for way, name in product(ways, VARIANTS)]
+    return sd.stack(tm.side_by_side(jobs))
 
 
 @query("q5_domain_adaptation", None)
 def domain_adaptation(t):
-    mails, prepared = _inputs(t)
-    rows = mails.select("doc_id", "source", "label", "lang")
-    return sd.adaptation(prepared, rows.where("lang <> 'en'").drop("lang"), rows.where("lang = 'en'").drop("lang"), sd.rules_only(3))
+    mails, prepared = _inputs(t, 3)
+    rows = mails.select("doc_id", "source", "label", "grp", "lang")
+    return sd.adaptation(prepared, rows.where("lang <> 'en'").drop("lang"), rows.where("lang = 'en'").drop("lang"), MAIN, "grp")
 
 
 @query("q6_second_language", None)
 def second_language(t):
     """Row-level stratified split of the non-English mails, with the share of mails the rules see at all."""
     mails = durable(_labelled(t).where("lang <> 'en'"))
-    prepared = tm.prepare(mails, sd.rules_only(2))
+    prepared = tm.prepare(mails, MAIN)
     parts = durable(sp.stratified_split(mails.drop("text"), "doc_id", "label"))
-    scored = sd.fit_score(prepared, parts.where("part < 2"), parts.where("part = 2"), sd.rules_only(2))
     share = jn.one_row(with_rules(mails.select("text")).agg(F.avg((F.col("score") > 0).cast("double")).alias("s")))["s"]
-    return sd.report(scored, 0.5, model="rules").withColumn("rules_fire_on", F.round(share, 4))
+
+    def judged(name):
+        scored = sd.fit_score(prepared, parts.where("part = 0"), parts.where("part > 0"), VARIANTS[name], ("label", "source", "part"))
+        return sd.report(scored.where("part = 2"), sd.best_threshold(scored.where("part = 1")), model=name)
+
+    return sd.stack(tm.side_by_side([partial(judged, name) for name in VARIANTS])).withColumn("rules_fire_on", F.round(share, 4))
 
 
 @query("q7_false_alarms", None)
 def false_alarms(t):
+    """Rule features 1 to 3, and the training mails without and with one language, at two operating points."""
     mails, prepared = _inputs(t)
-    parts = durable(sp.group_split(mails.drop("text"), "source"))
+    parts = durable(sp.group_split(mails.drop("text"), "grp"))
     train, val, test = (parts.where(F.col("part") == i) for i in range(3))
-    return sd.false_alarm_study(prepared, train, val, test, {f"v{v}": sd.rules_only(v) for v in (2, 3)})
+    version = lambda v: replace(MAIN, feature_version=v)
+    return sd.false_alarm_study(prepared, {"all": train, "without fr": train.where("lang <> 'fr'")}, val, test, {
+        "v1": (version(1), "without fr"), "v2": (version(2), "without fr"), "v2 on all": (version(2), "all"), "v3 on all": (version(3), "all")})
 
 
 @query("q8_recall_study", None)
 def recall_study(t):
-    """Versions compared on recall; the one with the best validation F1 is selected."""
+    """Rule features 2 and 3 with and without further training mails; the version with the best validation F1 is selected.
+
+    `only_here` and `only_v2` count the test mails that just one of the version and the first version judges right (exact paired test).
+    """
     mails, prepared = _inputs(t)
-    parts = durable(sp.group_split(mails.drop("text"), "source"))
+    parts = durable(sp.group_split(mails.drop("text"), "grp"))
+    train, rest = parts.where("part = 0"), parts.where("part > 0")
+    less = train.where("lang <> 'fr'")
+    versions = {"v2": (2, less), "v3": (3, less), "v2 on all": (2, train), "v3 on all": (3, train)}
+
+    def judged(name):
+        number, rows = versions[name]
+        scored = sd.fit_score(prepared, rows, rest, replace(MAIN, feature_version=number), ("label", "source", "part"))
+        return scored, cv.curve_summary(cv.score_curve(scored.where("part = 1"))).first()
+
+    found = dict(zip(versions, tm.side_by_side([partial(judged, name) for name in versions])))
+    first, start = found["v2"]
+    right = lambda table, at, name: table.where("part = 2").select("doc_id", ((F.col("score") >= at) == (F.col("label") == 1)).alias(name))
     rows = []
-    for v in (2, 3, 4):
-        scored = sd.fit_score(prepared, parts.where("part = 0"), parts.where("part > 0"), sd.rules_only(v), ("label", "source", "part"))
-        best = cv.curve_summary(cv.score_curve(scored.where("part = 1"))).first()
-        rows.append(sd.report(scored.where("part = 2"), best.best_f1_threshold, model=f"v{v}", validation_f1=best.best_f1))
+    for name, (scored, best) in found.items():
+        paired = right(scored, best.best_f1_threshold, "a").join(right(first, start.best_f1_threshold, "b"), "doc_id")
+        tests = paired.agg(F.count_if(F.expr("a AND NOT b")).alias("only_here"), F.count_if(F.expr("b AND NOT a")).alias("only_v2"))
+        tests = tests.withColumn("p_value", F.round(mcnemar_p("only_here", "only_v2"), 4)).withColumn("model", F.lit(name))
+        rows.append(sd.report(scored.where("part = 2"), best.best_f1_threshold, model=name, validation_f1=best.best_f1).join(tests, "model"))
     table = durable(sd.stack(rows))
     chosen = jn.one_row(table.agg(F.max_by("model", F.struct("validation_f1", "model")).alias("m")))["m"]
     return table.withColumn("selected", F.col("model") == chosen)
@@ -127,29 +168,33 @@ def recall_study(t):
 
 @query("q9_grid_search", None)
 def grid_search(t):
-    """Cross-validated cells; the default stays unless one cell beats it by a standard error."""
+    """Twelve cross-validated cells on the mails outside the test slice; the default stays unless one beats it by a standard error."""
     mails, prepared = _inputs(t, 3)
-    cells = {f"C={c:g}": sd.rules_only(3, C=c) for c in (16.0, 1.0)}
-    return sd.keep_default_unless_better(sd.cv_variants(mails.drop("text"), prepared, cells, "source", 3), "C=16")
+    outside = sp.group_split(mails.drop("text"), "grp").where("part < 2").drop("part")
+    cells = {f"C={c:g}, {cap} terms, {low}-{high}": replace(MAIN, C=c, max_features=cap, char_ngram=(low, high))
+             for c, cap, (low, high) in product((1.0, 4.0, 16.0), (50000, 200000), ((3, 5), (2, 5)))}
+    return sd.keep_default_unless_better(sd.cv_variants(outside, prepared, cells, "grp", 5), "C=16, 50000 terms, 2-5")
 
 
 @query("q9_near_copy_inflation", None)
 def near_copy_inflation(t):
     """The same model on a random split and on a split that keeps near-copy groups together."""
     mails, prepared = _inputs(t, 3)
-    groups = sim.near_copy_groups(mails, "doc_id")
-    rows = durable(mails.drop("text").join(groups, "doc_id"))
-    out = []
-    for name, parts in (("random", sp.stratified_split(rows, "doc_id", "label")), ("grouped", sp.group_split(rows, "grp"))):
-        parts = durable(parts)
-        out.append(sd.report(sd.fit_score(prepared, parts.where("part < 2"), parts.where("part = 2"), sd.rules_only(3)), 0.5, split=name))
-    return sd.stack(out)
+    rows = mails.drop("text")
+    splits = {"random": durable(sp.stratified_split(rows, "doc_id", "label")), "grouped": durable(sp.group_split(rows, "grp"))}
+
+    def judged(name):
+        parts = splits[name]
+        scored = sd.fit_score(prepared, parts.where("part = 0"), parts.where("part > 0"), MAIN, ("label", "source", "part"))
+        return sd.report(scored.where("part = 2"), sd.best_threshold(scored.where("part = 1")), split=name)
+
+    return sd.stack(tm.side_by_side([partial(judged, name) for name in splits]))
 
 
 @query("q10_url_feature_study", None)
 def url_feature_study(t):
     mails, prepared = _inputs(t)
-    return sd.cv_variants(mails.drop("text"), prepared, {"v3": sd.rules_only(3), "v4": sd.rules_only(4)}, "source", 3)
+    return sd.cv_variants(mails.drop("text"), prepared, {f"v{v}": replace(MAIN, feature_version=v) for v in (3, 4)}, "grp", 5)
 
 
 def _tidy_scores(t):
@@ -200,26 +245,34 @@ def commercial_mail(t):
 
 @query("q15_training_mixes", None)
 def training_mixes(t):
-    """Candidate training mixes tested on held-out senders."""
-    mails, prepared = _inputs(t, 3)
-    rows = durable(sp.grouped_folds(mails.drop("text"), "source", "label", 3))
-    test, rest = rows.where("fold = 0"), rows.where("fold <> 0")
-    mixes = {"P0": rest.where("lang <> 'fr'"), "P1": rest, "P2": rest.where("lang = 'en' OR label = 1")}
-    return sd.stack(sd.transfer(prepared, m.select("doc_id", "label", "source"), test.select("doc_id", "label", "source"), sd.rules_only(3), k) for k, m in mixes.items())
+    """Candidate training mixes, each with its own cross-validated threshold, tested on held-out near-copy groups."""
+    mails = _grouped(t)
+    rows = durable(sp.grouped_folds(mails, "grp", "label", 5))
+    test, rest = rows.where("fold = 0").drop("fold"), rows.where("fold <> 0").drop("fold")
+    mixes = {"P0": rest, "P1": rest.where("lang <> 'fr'"), "P2": rest.where("lang <> 'fr' OR label = 0"), "P3": rest.where("lang = 'en' OR label = 1")}
+
+    def judged(name):
+        model, _, _ = tm.fit_with_cv_threshold(mixes[name], MAIN, "grp")
+        scored = durable(model.score_mails(test).join(test.select("doc_id", "label"), "doc_id"))
+        return sd.report(scored, model.threshold, training=name)
+
+    return sd.stack(tm.side_by_side([partial(judged, name) for name in mixes], at_once=2))
 
 
 @query("q16_tone_variants", None)
 def tone_variants(t):
-    """Word features with and without stop words."""
-    mails = durable(_labelled(t))
-    words = tm.ModelOptions(use_char=False, use_rules=False, classifier="nb")
-    parts = durable(sp.stratified_split(mails, "doc_id", "label"))
-    rows = []
-    for name, stop in (("all words", ()), ("no stop words", tuple(lx.STOP_WORDS["en"]))):
-        options = tm.ModelOptions(**{**words.__dict__, "stop_words": stop})
-        prepared = tm.prepare(mails, options)
-        rows.append(sd.report(sd.fit_score(prepared, parts.where("part < 2"), parts.where("part = 2"), options), 0.5, model=name))
-    return sd.stack(rows)
+    """The production model, without stop words, without characters and without both, each with its own threshold."""
+    mails = durable(sp.group_split(_grouped(t), "grp"))
+    train, test = mails.where("part < 2").drop("part"), mails.where("part = 2").drop("part")
+    english = tuple(lx.STOP_WORDS["en"])
+    variants = {"production": MAIN, "M1": replace(MAIN, stop_words=english), "M2": replace(MAIN, use_char=False), "M3": replace(MAIN, stop_words=english, use_char=False)}
+
+    def judged(name):
+        model, _, _ = tm.fit_with_cv_threshold(train, variants[name], "grp")
+        scored = durable(model.score_mails(test).join(test.select("doc_id", "label"), "doc_id"))
+        return sd.report(scored, model.threshold, model=name)
+
+    return sd.stack(tm.side_by_side([partial(judged, name) for name in variants], at_once=2))
 
 
 @query("q17_header_study", HEADER_STUDY_SQL)
@@ -251,7 +304,7 @@ def generated_mail(t):
 
 @query("q20_decision_policy", None)
 def decision_policy(t):
-    return sd.decision_policy(t.scored.select("label", F.col("score_a").alias("score")), TRAIN_SHARE, T_A, [(100.0, 0.01), (10.0, 0.05)], 0.25)
+    return sd.decision_policy(t.scored.select("label", F.col("score_a").alias("score")), TRAIN_SHARE, T_A, [(r, p) for p in lx.PREVALENCES for r in lx.COST_RATIOS], 0.25)
 
 
 @query("q21_shortcut_study", None)
@@ -269,8 +322,8 @@ def shortcut_study(t):
 @query("q22_train_report", None)
 def train_report(t):
     """Calibration before and after, threshold, and paired test of model against rules."""
-    mails = durable(_labelled(t))
-    model, prepared, scored = tm.fit_with_cv_threshold(mails, sd.rules_only(3), "source", folds=3)
+    mails = _grouped(t)
+    model, prepared, scored = tm.fit_with_cv_threshold(mails, MAIN, "grp")
     rules = with_rules(mails).select("doc_id", F.col("score").cast("double").alias("score"))
     test = sd.paired_tests(scored, rules, model.threshold, float(lx.RULE_VERDICT_SCORE), "doc_id")
     return test.withColumns({"threshold": F.lit(model.threshold), "ece": F.lit(model.meta["ece"]), "brier": F.lit(model.meta["brier"])})

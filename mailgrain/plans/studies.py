@@ -4,7 +4,7 @@ Mails are scored once into a table; everything after scoring is grouped aggregat
 lists (models, folds, seeds), never over data.
 """
 
-from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +45,31 @@ def report(scored: DataFrame, threshold: float, **names) -> DataFrame:
     return both.select(*[F.lit(v).alias(k) for k, v in names.items()], F.lit(float(threshold)).alias("threshold"), *both.columns)
 
 
-def compare_models(mails: DataFrame, prepared, variants: dict, group: str, rule_scores: DataFrame | None = None) -> DataFrame:
-    """Every variant on the same grouped 70/15/15 split; threshold from validation; optional hybrid row."""
+def compare_models(mails: DataFrame, prepared, variants: dict, group: str, rule_scores: DataFrame, main: str) -> DataFrame:
+    """Every variant on the same grouped 70/15/15 split, the threshold from validation.
+
+    Further rows: the rules with a tuned and with their own threshold, and the mix of rules and `main` with the given weight and
+    with the weight of the best validation F1 (the last of equal ones).
+    """
     parts = durable(sp.group_split(mails, group))
-    train, val, test = (parts.where(F.col("part") == i) for i in range(3))
-    rows = []
-    for name, options in variants.items():
-        scored = fit_score(prepared, train, val.unionByName(test), options, ("label", "source", "part"))
-        rows.append(report(scored.where("part = 2"), best_threshold(scored.where("part = 1")), model=name))
-    if rule_scores is not None:
-        mixed = scored.join(rule_scores, prepared.id_column).withColumn("score", pol.hybrid_score(F.col("score"), F.col("rule_score"), lx.HYBRID_WEIGHT))
-        rows.append(report(mixed.where("part = 2"), best_threshold(mixed.where("part = 1")), model="hybrid"))
-    return stack(rows)
+    train, rest = parts.where("part = 0"), parts.where("part > 0")
+    key = prepared.id_column
+
+    def judged(name):
+        return fit_score(prepared, train, rest, variants[name], ("label", "source", "part"))
+
+    scored = dict(zip(variants, tm.side_by_side([partial(judged, name) for name in variants])))
+    scored["rules"] = durable(rest.join(rule_scores, key).select(key, F.col("rule_score").cast("double").alias("score"), "label", "source", "part"))
+    both = durable(scored[main].join(rule_scores, key))
+    mixed = lambda w: both.withColumn("score", pol.hybrid_score(F.col("score"), F.col("rule_score"), w))
+    weights = [round(0.05 * i, 2) for i in range(21)]
+    grid = stack(mixed(w).where("part = 1").select(F.lit(w).alias("weight"), "score", "label") for w in weights)
+    curves = cv.curve_summary(cv.score_curve(grid, keys=["weight"]), ["weight"]).select("weight", F.col("best_f1").alias("f1"))
+    tuned = cv.best_weight(curves).first().weight
+    scored |= {"hybrid": mixed(lx.HYBRID_WEIGHT), "hybrid, tuned weight": mixed(tuned)}
+    rows = [partial(report, table.where("part = 2"), best_threshold(table.where("part = 1")), model=name) for name, table in scored.items()]
+    rows.append(partial(report, scored["rules"].where("part = 2"), lx.RULE_VERDICT_SCORE, model="rules, own threshold"))
+    return stack(row() for row in rows)
 
 
 def fold_report(mails: DataFrame, prepared, options, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -72,24 +85,36 @@ def transfer(prepared, train: DataFrame, test: DataFrame, options, name: str) ->
     return report(fit_score(prepared, train, test, options), 0.5, training=name)
 
 
-def adaptation(prepared, source: DataFrame, target: DataFrame, options) -> DataFrame:
-    """Three training mixes: source only, half of the target only, both; tested on the other half."""
-    halves = durable(sp.stratified_split(target, prepared.id_column, "label", fractions=(0.5, 0.5, 0.0)))
-    half, test = halves.where("part = 0").drop("part"), halves.where("part = 1").drop("part")
+def adaptation(prepared, source: DataFrame, target: DataFrame, options, group: str) -> DataFrame:
+    """Three training mixes: source only, half of the target only, both; tested on the other half.
+
+    Groups stay whole; a fifth of the target's first half chooses every threshold.
+    """
+    slices = durable(sp.group_split(target, group, fractions=(0.4, 0.1, 0.5)))
+    half = slices.where("part = 0").drop("part")
     mixes = {"source only": source, "half target": half, "both": source.unionByName(half)}
-    return stack(transfer(prepared, train, test, options, name) for name, train in mixes.items())
 
+    def judged(name):
+        scored = fit_score(prepared, mixes[name], slices.where("part > 0"), options, ("label", "source", "part"))
+        return report(scored.where("part = 2"), best_threshold(scored.where("part = 1")), training=name)
 
-def false_alarm_study(prepared, train: DataFrame, val: DataFrame, test: DataFrame, versions: dict) -> DataFrame:
-    """Flag rate per source for every version at the best-F1 point and at 1% validation false alarms."""
-    rows = []
-    for name, options in versions.items():
-        scored = fit_score(prepared, train, val.unionByName(test), options, ("label", "source", "part"))
+    return stack(tm.side_by_side([partial(judged, name) for name in mixes]))
+
+
+def false_alarm_study(prepared, train: dict, val: DataFrame, test: DataFrame, versions: dict) -> DataFrame:
+    """Flag rate per source for every version at the best-F1 point and at 1% validation false alarms.
+
+    `versions`: name -> (options, name of the training set in `train`).
+    """
+    def judged(name):
+        options, mix = versions[name]
+        scored = fit_score(prepared, train[mix], val.unionByName(test), options, ("label", "source", "part"))
         point = cv.curve_summary(cv.score_curve(scored.where("part = 1")), fpr_limit=0.01).first()
-        for operating, flagged in (("max F1", F.col("score") >= point.best_f1_threshold), ("FPR 1%", F.col("score") > F.lit(point.cut_above))):
-            rates = mt.flagged_rates(scored.where("part = 2 AND label = 0"), flagged, ["source"])
-            rows.append(rates.select(F.lit(name).alias("model"), F.lit(operating).alias("operating_point"), "*"))
-    return stack(rows)
+        points = (("max F1", F.col("score") >= point.best_f1_threshold), ("FPR 1%", F.col("score") > F.lit(point.cut_above)))
+        return stack(mt.flagged_rates(scored.where("part = 2 AND label = 0"), flagged, ["source"]).select(
+            F.lit(name).alias("model"), F.lit(operating).alias("operating_point"), "*") for operating, flagged in points)
+
+    return stack(tm.side_by_side([partial(judged, name) for name in versions]))
 
 
 def paired_tests(a: DataFrame, b: DataFrame, threshold_a: float, threshold_b: float, key: str, groups=("label",)) -> DataFrame:
@@ -103,11 +128,12 @@ def paired_tests(a: DataFrame, b: DataFrame, threshold_a: float, threshold_b: fl
 def cv_variants(mails: DataFrame, prepared, variants: dict, group: str, folds: int, seed: int = 42) -> DataFrame:
     """Mean fold F1 of every variant and the paired difference to the first one."""
     folded = durable(sp.grouped_folds(mails, group, "label", folds, seed).select(prepared.id_column, "label", "fold"))
-    tables = []
-    for name, options in variants.items():
-        oof = tm.oof_scores(prepared, folded, options, folds)
-        f1 = mt.with_rates(mt.confusion(oof, F.col("score") >= 0.5, keys=["fold"]), 6).select("fold", F.col("f1"))
-        tables.append(f1.select(F.lit(name).alias("model"), "fold", "f1"))
+
+    def folds_of(name):
+        oof = tm.oof_scores(prepared, folded, variants[name], folds)
+        return mt.with_rates(mt.confusion(oof, F.col("score") >= 0.5, keys=["fold"]), 6).select(F.lit(name).alias("model"), "fold", "f1")
+
+    tables = tm.side_by_side([partial(folds_of, name) for name in variants], at_once=3)
     rows = durable(stack(tables))
     base = rows.where(F.col("model") == next(iter(variants))).select("fold", F.col("f1").alias("base"))
     d = F.col("f1") - F.col("base")
@@ -172,7 +198,3 @@ def decision_policy(scored: DataFrame, train_share: float, threshold: float, cel
             F.lit(float(cost_ratio)).alias("cost_ratio"), F.lit(float(prevalence)).alias("prevalence"), "policy",
             F.round("cost_per_1000", 4).alias("cost_per_1000"), "lo", "hi"))
     return stack(rows)
-
-
-def rules_only(version: int, **changes):
-    return replace(tm.ModelOptions(use_text=False, feature_version=version, max_iter=25), **changes)
