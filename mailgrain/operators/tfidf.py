@@ -1,9 +1,9 @@
 """Relational TF-IDF: term counting inside the row, document frequencies by aggregation.
 
 Counting terms needs no shuffle (all tokens of a mail sit in its row). One aggregation over distinct
-(mail, term) pairs yields document frequencies with map-side combine. A vocabulary capped by
-`max_features` has a proven size and is broadcast; an uncapped one is joined by shuffle, where AQE
-splits the frequent terms.
+(mail, term) pairs yields document frequencies with map-side combine. The vocabulary is whole unless
+`max_features` caps it. A capped one has a proven size and is broadcast; a whole one is joined by
+shuffle, where AQE splits the frequent terms.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.base import SPACE, WORD, let
 
-MAX_FEATURES = 50000
-
 
 def word_tokens(text: Column, stop_words=()) -> Column:
     """Runs of at least two word characters of already normalised text."""
@@ -88,8 +86,8 @@ def doc_count(df: DataFrame) -> Column:
     return df.agg(F.count("*").cast("double").alias("n")).scalar()
 
 
-def tfidf(df: DataFrame, id_column: str, tokens: Column, min_df: int, max_df: float = 1.0, max_features: int = MAX_FEATURES):
-    """(weights, vocabulary) of one block with a capped vocabulary."""
+def tfidf(df: DataFrame, id_column: str, tokens: Column, min_df: int, max_df: float = 1.0, max_features: int | None = None):
+    """(weights, vocabulary) of one block."""
     terms = postings(df, id_column, tokens)
     vocab = vocabulary(terms, doc_count(df.select(id_column)), min_df, max_df, max_features)
-    return weights(terms, vocab, id_column, bounded=True), vocab
+    return weights(terms, vocab, id_column, bounded=max_features is not None), vocab
