@@ -299,7 +299,9 @@ def fit_methods(t):
     val = cv.curve_summary(cv.score_curve(judged)).select(F.lit("val").alias("method"), F.col("best_f1_threshold").alias("threshold"))
     chosen = reduce(DataFrame.unionByName, [cv.plateau_threshold(curve, rule=r).select(F.lit(r).alias("method"), "threshold") for r in ("max", "plateau")], val)
     final = durable(tm.TextModel(WHOLE).fit(prepared, mails).raw_scores(prepared, mails))
-    return final.join(F.broadcast(durable(chosen)), F.col("score") >= F.col("threshold"), "right").groupBy("method", "threshold").agg(F.count("doc_id").alias("flagged"))
+    counts = [final.agg(F.count_if(F.col("score") >= r.threshold).alias("flagged")).select(
+        F.lit(r.method).alias("method"), F.lit(r.threshold).alias("threshold"), "flagged") for r in chosen.collect()]  # three rows
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("s13_model_round_trip", None)
