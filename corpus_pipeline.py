@@ -5,8 +5,10 @@ pieces. Each stage is written as Parquet in the shared folder and read again by
 
 * language: rows whose language model rejects them (no text, no letters, or unlike every learned language) go. The
   models are learned from the stage's own labelled input.
-* near duplicates: of each SimHash component the row with the smallest doc_id stays, and of rows that repeat it one.
-* contamination: documents with at least one word in twenty inside benchmark passages go.
+* near duplicates: of each SimHash component the row with the smallest doc_id stays (of different texts under that id
+  the one with the smallest hash), and of rows that repeat it one.
+* contamination: documents with at least one word in twenty inside benchmark passages go; rows are told apart by id and
+  text, so other texts under the same id, or without id, stay.
 * secrets: every span found is replaced by a mask; n_chars follows the new text. No document is dropped here.
 * packing: see `mailgrain.llm.packing`.
 
@@ -28,10 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = grouped.select(F.col("doc_id").alias("__kept"), F.col("fingerprint").alias("__print")).distinct()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return own.dropDuplicates(["doc_id"])
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

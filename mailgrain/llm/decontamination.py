@@ -69,6 +69,12 @@ def _classes(windows: DataFrame, window: int):
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_hit, items): hit words and the sorted ids of the items that occur, one row per document."""
+    return _counted(docs, items, window, id_col, text_col, item_id_col, item_text_col).select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
+
+
+def _counted(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
+             item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """`contamination` as (id, h, n_words, n_hit, items), with the hash of the text."""
     windows = item_windows(items, window, item_id_col, item_text_col)
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
@@ -83,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
             F.array(*[F.lit(n) for n in lengths]).alias("lengths")).alias("spot"))
         found = spots if found is None else found.union(spots)
     if found is None:
-        return docs.select(F.col(id_col), F.size(words_of(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.size(words_of(text)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     spots = found.groupBy("id", "h").agg(F.collect_set("spot").alias("spots"))
     same = (F.col("d.id").eqNullSafe(F.col("s.id"))) & (F.col("d.h") == F.col("s.h"))
 
@@ -101,15 +107,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     hits = hits.select("id", "h", covered.cast("long").alias("n_hit"), "items")
     counted = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.size(words_of(text)).cast("long").alias("n_words"))
     return counted.alias("d").join(hits.alias("s"), same, "left").select(
-        F.col("d.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        "d.id", "d.h", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are not contaminated: no hit word, or fewer than one word in 20 hit."""
+    """The rows of `docs` that are not contaminated: no hit word, or fewer than one word in 20 hit. Rows go by (id, hash of the text)."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = contamination(docs.select(id_col, text_col), items, **options).where(contaminated()).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = _counted(docs.select(id_col, text_col), items, **options).where(contaminated()).select(F.col("id").alias("__bad"), F.col("h").alias("__h")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
 
 
 def contaminated() -> Column:

@@ -132,6 +132,27 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, dense: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id, links): one row per document. `links` counts the stored links of its fingerprint."""
     each = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    whole, sizes = _whole(each, id_col, distance)
+    return spread_join(each, whole, "fp", sizes, id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+def row_key(id_col: str, text_col: str):
+    """struct<none, id, h> of a row: orders rows by id, those without one last, then by the hash of their text."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+    """The rows of `docs`, with all columns, that come first in their component by `row_key`; of rows that repeat one.
+
+    Components are told apart by row keys, not by ids: texts that share an id or have none may lie in many."""
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    whole, _ = _whole(fingerprints(keyed, "__row", text_col), "__row", distance)
+    first = whole.select(F.col("component_id").alias("__row")).distinct()
+    return keyed.dropDuplicates(["__row"]).join(first, "__row", "left_semi").drop("__row")
+
+
+def _whole(each: DataFrame, id_col: str, distance: int):
+    """(fp, component_id, links) and (fp, n), one row per fingerprint of `each`."""
     distinct = written(each.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "distinct")
     edges = written(links(distinct, distance), "links")
     parts = connected_components(edges)
@@ -140,4 +161,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = parts.join(named, "component").join(degree, "node").select(F.col("node").alias("fp"), "name", "links")
     whole = distinct.join(linked, "fp", "left").select(
         "fp", F.coalesce("name", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return spread_join(each, whole, "fp", distinct.select("fp", "n"), id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return whole, distinct.select("fp", "n")

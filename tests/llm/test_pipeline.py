@@ -1,8 +1,12 @@
 """The pipeline's stages on one small table, each checked on its own input."""
 
+import random
+
 import corpus_pipeline
 import pytest
 
+from mailgrain.llm import decontamination, simhash
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -43,3 +47,25 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rnd = random.Random(3)
+    prose = [" ".join(f"{rnd.choice('klmnop')}{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(9)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    near = prose[0] + " tail"
+    assert simhash_distance(prose[0], near) <= 3
+    rows = [(None, t, "en", "s", 1) for t in prose[:4]] + [(None, prose[0], "en", "s", 1), (5, prose[4], "en", "s", 1), (5, prose[5], "en", "s", 1), (5, None, "en", "s", 0),
+            (6, near, "en", "s", 1), (7, prose[6], "en", "s", 1), (6, prose[6], "en", "s", 1), (6, prose[7], "en", "s", 1), (6, prose[7], "en", "s", 1)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, shape).repartition(3), "")
+    want = [(None, t) for t in prose[1:4]] + [(5, prose[4]), (5, prose[5]), (5, None), (6, near), (6, prose[6]), (6, prose[7])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+    rows = [(i, t, "en", "s", 1) for i in (None, 5) for t in prose[:4]]
+    items = spark.createDataFrame([(1, " ".join(prose[0].split()[:20]))], "item_id long, text string")
+    clean = decontamination.decontaminated(spark.createDataFrame(rows, shape), items)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(str((i, t)) for i in (None, 5) for t in prose[1:4])
+
+
+def simhash_distance(a, b):
+    return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
