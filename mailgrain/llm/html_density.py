@@ -8,7 +8,8 @@ tags and stray end tags are handled). For every node:
   counts taken as one: characters per tag, lowered where they sit in links (bases near one count as e^0.001);
 * density sum: the sum of its children's densities.
 
-The node of the largest density sum is the centre. The threshold is the smallest density on its path to the body, and
+The node of the largest density sum is the centre. Nodes inside dropped blocks (see below; forms excepted, they may hold
+a whole page) do not compete, unless every <article> or <main> with text lies there, or all text does. The threshold is the smallest density on its path to the body, and
 the largest such subtree on that path is kept; inside it, blocks are dropped that by tag, role, class or id are menus,
 headers, footers, sidebars, notices, adverts, forms or comments. Headings and short paragraphs inside stay.
 
@@ -47,11 +48,12 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "inside")
+    __slots__ = ("tag", "parent", "children", "drop", "barred", "chars", "tags", "link_chars", "link_tags", "density", "inside")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], False
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.barred = parent is not None and (parent.barred or parent.drop and parent.tag != "form")  # some pages are one form
 
 
 def _is_boilerplate(tag, attributes, inside_main) -> bool:
@@ -113,7 +115,7 @@ def parse(page: str) -> Node:
                     here = node.parent
                 node = node.parent
         new = Node(tag, here)
-        new.drop = _is_boilerplate(tag, m[3], new.inside)
+        new.drop = tag not in ("html", "body") and _is_boilerplate(tag, m[3], new.inside)
         here.children.append(new)
         if tag in RAW:
             new.drop = True
@@ -158,6 +160,17 @@ def _densities(order, body: Node):
         n.density = n.chars / tags * max(math.log(ratio), 0.0) / max(math.log(base), 1e-3) if n.chars else 0.0
 
 
+def _candidates(order):
+    """Nodes that may be the centre, parents first, so a tie goes to the larger subtree.
+
+    Nodes inside dropped ones are barred, unless all articles (or mains) with text lie there, or all text does."""
+    free = [n for n in reversed(order) if not n.barred]
+    holders = [n for n in reversed(order) if n.tag in ("article", "main") and n.chars]
+    if holders and all(n.barred for n in holders):
+        return [n for n in reversed(order) if not n.barred or n.inside]
+    return free if any(n.chars and not n.drop for n in free) else order[::-1]
+
+
 def main_text(page) -> str:
     """Main text of one page."""
     if not page:
@@ -167,7 +180,7 @@ def main_text(page) -> str:
     body = next((n for n in reversed(order) if n.tag == "body"), root)
     _densities(order, body)
     best, centre = -1.0, body
-    for n in reversed(order):  # parents first, so a tie goes to the larger subtree
+    for n in _candidates(order):
         if n.tag in INLINE or n.drop:
             continue
         total = sum(c.density for c in n.children if isinstance(c, Node))

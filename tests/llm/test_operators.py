@@ -300,6 +300,20 @@ def test_pages(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_blocks_inside_dropped_ones_are_not_the_centre():
+    story = [f"Story {i} " + "long line of the article " * 16 for i in range(3)]
+    article = "<article>" + "".join(f"<p>{t}</p>" for t in story) + "</article>"
+    comments = "<div class='comments'><ol>" + "".join(f"<li><p>Reader {i} " + "says this and that " * 5 + "</p></li>" for i in range(40)) + "</ol></div>"
+    want = " ".join(" ".join(story).split())
+    assert html_density.main_text(f"<body>{article}{comments}</body>") == want
+    assert html_density.main_text(f"<body><div>{article[9:-10]}</div>{comments}</body>") == want
+    assert html_density.main_text(f"<body>{article}{comments.replace('<li>', '<li><article>').replace('</li>', '</article></li>')}</body>") == want
+    assert html_density.main_text(f"<body><div class='with-sidebar'>{article}</div><div>Small text</div></body>") == want
+    assert html_density.main_text(f"<body><form><div>{article[9:-10]}</div></form><p>Skip</p></body>") == want
+    assert html_density.main_text(f"<body style='display:none'><div>{article[9:-10]}</div>{comments}</body>") == want
+    assert html_density.main_text(f"<body><div class='modal'><div>{article[9:-10]}</div></div></body>") == want
+
+
 # ---------------------------------------------------------------- 9
 def components(fps, distance=3):
     parent = list(range(len(fps)))
