@@ -9,9 +9,12 @@ tags and stray end tags are handled). For every node:
 * density sum: the sum of its children's densities.
 
 The node of the largest density sum is the centre. Nodes inside dropped blocks (see below; forms excepted, they may hold
-a whole page) do not compete, unless every <article> or <main> with text lies there, or all text does. The threshold is the smallest density on its path to the body, and
-the largest such subtree on that path is kept; inside it, blocks are dropped that by tag, role, class or id are menus,
-headers, footers, sidebars, notices, adverts, forms or comments. Headings and short paragraphs inside stay.
+a whole page) do not compete, unless every <article> or <main> with text lies there, or all text does. If an <article>
+or <main> encloses the centre, the outermost one is kept. Else the threshold is the smallest density on its path to the
+body, and the topmost nodes below the body that reach it are kept, but for blocks of nothing but links around the centre
+(sections that lie directly in the body and are thinner than the body as a whole do not reach it). Inside what is kept,
+blocks are dropped that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or
+comments. Headings and short paragraphs inside stay.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one blank in
 page order. Pages are independent and each is read whole. Null or empty html, or a page without text: empty text.
@@ -19,6 +22,7 @@ Repeated rows repeat their result; other columns are ignored; an empty table giv
 """
 
 import html as entities
+import itertools
 import math
 import re
 
@@ -192,25 +196,46 @@ def main_text(page) -> str:
         if node is body:
             break
         node = node.parent
-    threshold = min(n.density for n in path)
     kept = centre
     for n in path[1:]:  # an article around the centre belongs to it; so does a parent as dense as the centre itself
         if n is body or n is root:
             break
-        if n.tag in ("article", "main") or n.density >= max(threshold, centre.density):
+        if n.tag in ("article", "main") or n.density >= centre.density:
             kept = n
     out = []
-    _collect(kept, out)
+    if centre is path[-1] or any(n.tag in ("article", "main") for n in path):
+        _collect(kept, out)
+    else:
+        below = [*itertools.takewhile(lambda n: not n.drop, path)]  # a dropped wrapper bounds the search as the body does
+        top = path[min(len(below), len(path) - 1)]
+        for n in _reaching(top, min(n.density for n in below)):
+            _collect(n, out, kept, path)
     return " ".join("".join(out).split())
 
 
-def _collect(top: Node, out: list):
-    """Text below `top` in page order; a line break around blocks."""
+def _reaching(top: Node, threshold: float):
+    """The topmost nodes below `top` whose density reaches the threshold, in page order."""
+    stack = [top]
+    while stack:
+        x = stack.pop()
+        if x is not top and x.density >= threshold:
+            yield x
+        else:
+            stack += [c for c in reversed(x.children) if isinstance(c, Node) and not c.drop]
+
+
+def _collect(top: Node, out: list, kept=None, path=()):
+    """Text below `top` in page order; a line break around blocks. With `kept`, blocks outside of it (and off the path to
+    it) that are nothing but links, two or more, are left out."""
     stack = [top]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
+        elif kept is not None and x is kept:
+            _collect(x, out)
+        elif kept is not None and x not in path and x.tag not in INLINE and x.link_tags > 1 and x.link_chars == x.chars:
+            continue
         elif not x.drop or x is top:
             block = x.tag not in INLINE
             if block:

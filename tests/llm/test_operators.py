@@ -314,6 +314,21 @@ def test_blocks_inside_dropped_ones_are_not_the_centre():
     assert html_density.main_text(f"<body><div class='modal'><div>{article[9:-10]}</div></div></body>") == want
 
 
+def test_sections_that_reach_the_threshold_are_kept():
+    first = "".join("<p>" + "word " * 99 + f"end{i}.</p>" for i in range(10))
+    second = "".join("<p>" + "text " * 59 + f"fin{i}.</p>" for i in range(6))
+    words = lambda *parts: " ".join(" ".join(re.sub("<.*?>", " ", p) for p in parts).split())
+    pages = {
+        "nested": f"<body><div><div>{first}</div><div>{second}</div></div></body>",
+        "menu": f"<body><div><div><a href=a>m</a> <a href=b>n</a></div><div>{first}</div><div>{second}</div><div class='footer'>f</div></div></body>",
+        "swapped": f"<body><div><div>{second}</div><div>{first}</div></div></body>",
+        "direct": f"<body><div>{first}</div><div>{first}</div><div><a href=a>m</a><a href=b>n</a></div></body>",
+        "modal": f"<body><div class='modal'><div><div>{first}</div><div>{second}</div></div></div></body>",
+    }
+    want = {"nested": words(first, second), "menu": words(first, second), "swapped": words(second, first), "direct": words(first, first), "modal": words(first, second)}
+    assert {k: html_density.main_text(p) for k, p in pages.items()} == want
+
+
 # ---------------------------------------------------------------- 9
 def components(fps, distance=3):
     parent = list(range(len(fps)))
