@@ -2,10 +2,12 @@
 
 References: for every language, over all texts labelled with it, the histogram of character classes (14 classes of
 ASCII characters and lead bytes) and the words that make up at least one in 1,000 of its words, with their shares
-(at most 1,000 words a language by that rule); languages with fewer than one in 1,000 of all words get no reference
-(at most 1,000 languages by that rule). Those bounds make the references safe to broadcast.
+(at most 1,000 words a language by that rule). A language needs 10,000 words, so that such a word is expected ten times,
+or one in 1,000 of all words in a smaller table; how large the other languages are does not matter beyond that. The
+references are broadcast: at most 1,000 words for each language with 10,000 words.
 
-Verdict: a document is compared with every reference; its distance is the smallest over the languages of
+Verdict: a document labelled with a language that has no reference is left to the base rules. Every other one is compared
+with every reference; its distance is the smallest over the languages of
 
 * the Jensen-Shannon distance (base 2) of character classes, guarded by at least `least_chars` characters in words;
 * the Jensen-Shannon distance of common-word shares (all other words are one bin), guarded by `least_words` words.
@@ -95,7 +97,7 @@ def repeated(ids, words, width: int = 5) -> int:
     return int((np.cumsum(hit[:-1]) > 0).sum())
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.001):
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.001, least: int = 10_000):
     """{lang: (class shares, {word: share})}; see the module text."""
 
     def run(batches):
@@ -125,10 +127,10 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     counts = written(labelled.mapInArrow(run, "lang string, kind int, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "references")
     totals = counts.where("kind < 0").groupBy("lang").agg(F.sum("n").alias("total"))
     all_words = sum(r["total"] for r in totals.where("total > 0").groupBy().agg(F.sum("total").alias("total")).collect() if r["total"])
-    taught = totals.where(F.col("total") >= share * all_words)
+    taught = totals.where(F.col("total") >= min(least, share * all_words))
     common = counts.join(taught, "lang").where((F.col("kind") >= 0) | (F.col("n") >= share * F.col("total")))
     out = {}
-    for r in common.collect():  # at most 1/share languages of 1/share words and 14 classes
+    for r in common.collect():  # at most 1/share words and 14 classes for each language
         kinds, words = out.setdefault(r["lang"], (np.zeros(CLASSES), {}))
         if r["kind"] >= 0:
             kinds[r["kind"]] = r["n"]
@@ -150,12 +152,15 @@ class Judge:
 
     def __init__(self, refs, class_limit, word_limit, least_chars, least_words):
         self.refs = [(lang, kinds, [*words], np.array([*words.values(), max(0.0, 1 - sum(words.values()))])) for lang, (kinds, words) in refs.items()]
+        self.langs = frozenset(refs)
         self.class_limit, self.word_limit, self.least_chars, self.least_words = class_limit, word_limit, least_chars, least_words
 
-    def __call__(self, text, ids, known, chars):
-        """(class distance, word distance, passes); distances are NaN below their guard."""
+    def __call__(self, text, ids, known, chars, lang=None):
+        """(class distance, word distance, passes); distances are NaN below their guard or if `lang` has no reference."""
         by_class = by_word = math.nan
         ok = True
+        if lang is not None and lang not in self.langs:
+            return by_class, by_word, ok
         if chars >= self.least_chars and self.refs:
             kinds = class_counts(text)
             n = kinds.sum()
@@ -187,16 +192,16 @@ def judged(docs: DataFrame, refs=None, id_col: str = "doc_id", text_col: str = "
         judge = Judge(shared.value, class_limit, word_limit, least_chars, least_words)
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t, lang in zip(b.column(1), b.column(2).to_pylist()):
                 text = t.as_py() or ""
                 ids, known, chars, symbols, lines, again = measures(text)
                 n = len(ids)
                 failed = n < 10 or 100 * again > 20 * n
-                by_class, by_word, ok = judge(text, ids, known, chars)
+                by_class, by_word, ok = judge(text, ids, known, chars, lang)
                 rows.append((n, chars, symbols, lines, again, failed, ok and not failed, by_class, by_word))
             types = [b.schema.field(0).type] + [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield arrow_rows([id_col, *names], types, [b.column(0), *(zip(*rows) if rows else [[]] * len(names))])
 
-    kept = docs.select(id_col, text_col)
+    kept = docs.select(id_col, text_col, F.col(lang_col).cast("string").alias("__lang"))
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2
     return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import string
@@ -159,6 +160,18 @@ def test_quality_measures_and_verdict(spark, table):
     assert rows_of(divergence.judged(table.limit(0))) == []
 
 
+def test_a_small_language_beside_a_large_one_has_a_reference(spark):
+    rnd = random.Random(4)
+    own = lambda c, n=200: " ".join(f"{c}{rnd.choice('aeiou')}{rnd.randrange(20)}" for _ in range(n))
+    large = spark.range(101).select(F.col("id").alias("doc_id"), F.repeat(F.lit(own("b", 1000) + " "), 100).alias("text"), F.lit("bb").alias("lang"))  # 10.1 million words
+    small = spark.createDataFrame([(1000 + i, own("s"), "ss") for i in range(50)] + [(2000, own("t"), "tt"), (2001, own("b"), "tt"), (3000, own("t"), None), (3001, own("s"), None)], "doc_id long, text string, lang string")
+    refs = divergence.references(large.union(small))
+    assert set(refs) == {"bb", "ss"}
+    got = {r.doc_id: r for r in divergence.judged(small, refs).collect()}
+    assert all(got[i].kept and got[i].word_distance < 0.5 for i in (*range(1000, 1050), 3001)) and not got[3000].kept
+    assert all(got[i].kept and math.isnan(got[i].word_distance) and math.isnan(got[i].class_distance) for i in (2000, 2001))
+
+
 # ---------------------------------------------------------------- 4
 def test_packing(spark, table):
     enc = encoding.Encoder(encoding.vocabulary("word_bpe_49k.json"))
