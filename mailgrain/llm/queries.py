@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontamination, divergence, html_density, language, packing, secrets, simhash, token_edits, token_files, warc
+from . import conversation_repair, decontamination, divergence, html_density, language, packing, secrets, simhash, token_edits, token_files, warc
 from .common import table
 
 QUERIES = {}
@@ -103,3 +103,55 @@ def simhash_blocks(spark, sf_dir):
 def warc_archive(spark, sf_dir):
     """Every page written to WARC archives and read back through the index."""
     return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def _repair_sql():
+    """The dynamic programme as a fold over each conversation's rows; a state is (cost, edits, repaired text)."""
+    step = []
+    for target in range(4):
+        ways = []
+        for source in range(4):
+            for k in range(3):
+                middle, roles = conversation_repair._inserted(source, k)
+                old = f"acc[{source + 1}]"
+                lines = lambda more: " || ".join([f"{old}.t", *[f"'{r}:' || chr(10)" for r in roles], *more])
+                add = lambda cost, letter, more, when: ways.append(
+                    f"CASE WHEN {when} THEN {{'c': {old}.c + {cost + 5 * k}, 'a': {old}.a || '{'I' * k}{letter}', 't': {lines(more)}}} END")
+                if middle == target:
+                    add(2, "D", [], "true")
+                for initial in "sua":
+                    if conversation_repair._emitted(middle, initial) == target:
+                        add(0, "K", ["x.role || ':' || x.text || chr(10)"], f"x.i = '{initial}' AND x.fault = 0")
+                        add(5, "K", ["x.role || ':' || x.text || chr(10)"], f"x.i = '{initial}' AND x.fault = 3")
+                role, after = ("assistant", 3) if middle == 2 else ("user", 2)
+                if after == target:
+                    add(1, "R", [f"'{role}:' || x.text || chr(10)"], "x.fault = 0")
+                    add(6, "R", [f"'{role}:' || x.text || chr(10)"], "x.fault = 3")
+        step.append(f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))")
+    none = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    init = f"[{{'c': 0::BIGINT, 'a': '', 't': ''}}, {none}, {none}, {none}]"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"  # plain ASCII
+    crc = f"""xor(list_reduce(list_transform(string_split({key}, ''), lambda c: ascii(c)::BIGINT), lambda r, b: list_reduce(range(8), lambda v, j: CASE WHEN v & 1 = 1
+  THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END, xor(r, b)), 4294967295::BIGINT), 4294967295::BIGINT)"""
+    return rf"""
+WITH raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS hit FROM conversations),
+kept AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE hit <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM kept),
+marked AS (SELECT *, substr(role, 1, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS prev FROM num),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (prev IS NOT NULL AND (prev || i) NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'i': i, 'role': role, 'text': text, 'fault': fault}} ORDER BY p) AS l FROM marked GROUP BY conv_id),
+folded AS (SELECT *, list_reduce(l, lambda acc, x: [{', '.join(step)}], {init}) AS s FROM facts),
+done AS (SELECT *, list_min([{{'c': s[1].c, 'a': s[1].a, 't': s[1].t}}, {{'c': s[2].c + 10, 'a': s[2].a || 'II', 't': s[2].t || 'user:' || chr(10) || 'assistant:' || chr(10)}},
+  {{'c': s[3].c + 5, 'a': s[3].a || 'I', 't': s[3].t || 'assistant:' || chr(10)}}, {{'c': s[4].c, 'a': s[4].a, 't': s[4].t}}]) AS b FROM folded)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.t, 1, length(b.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def conversation_repairs(spark, sf_dir):
+    """The cheapest repair of every damaged conversation."""
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
