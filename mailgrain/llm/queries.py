@@ -1,9 +1,9 @@
-"""The ten operators as registered queries, with the SQL they are checked against where SQL can express them."""
+"""The operators for training text as registered queries, with the SQL they are checked against where SQL can express them."""
 
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import conversation_repair, decontamination, divergence, html_density, language, packing, secrets, simhash, token_edits, token_files, warc
+from . import conversation_repair, decontamination, divergence, html_density, language, lexical_search, lsh_forest, packing, secrets, simhash, token_edits, token_files, warc
 from .common import table
 
 QUERIES = {}
@@ -155,3 +155,40 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON d.conv_i
 def conversation_repairs(spark, sf_dir):
     """The cheapest repair of every damaged conversation."""
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+SEARCH_SQL = r"""
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM len),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, CAST(floor(1000 * ln((2 * (SELECT docs FROM total) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))) AS part FROM tf JOIN len USING (doc_id) JOIN df USING (term), total),
+score AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM q JOIN impact USING (term) GROUP BY ALL HAVING sum(times * part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 10"""
+
+
+@query("op12_max_sketch_search", SEARCH_SQL)
+def max_sketch_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+FOREST_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+part AS (SELECT id, min(other) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) IS NOT DISTINCT FROM d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN part ON part.id = d.doc_id"""
+
+
+@query("op11_lsh_forest", FOREST_SQL)
+def lsh_forest_duplicates(spark, sf_dir):
+    """Near-duplicate components of every document, found by an LSH forest and confirmed on full sets."""
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
