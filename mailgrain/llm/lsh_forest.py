@@ -14,7 +14,7 @@ similarity are dropped, the others are confirmed on the full sets.
   across components, with the largest component of a shingle on one side.
 
 A pair at similarity 0.8 shares three leading places of one order with probability 0.51, so all 16 orders miss it once in
-100,000 cases, and closer pairs far more rarely; the signature bound (half of the places) drops it once in a million.
+100,000 cases, and closer pairs far more rarely; the signature bound (36 of 64 places) drops it about as rarely.
 
 Rows without words, or with null text, have empty sets and no links. Rows with one doc_id and different texts are nodes of
 their own; a component is named by its smallest non-null doc_id (null if it has none); `kept` compares ids null-safely, so
@@ -31,6 +31,7 @@ from .common import arrow_rows, spread_join, written
 from .components import components
 
 SIGNATURE, TREES, STEP, DEPTH = 64, 16, 4, 3
+LEAST = 36  # equal places of two signatures at similarity 0.8: 51 expected, 3.2 the deviation
 FIRST_TREES = (0, 4, 8, 12)
 MOST_KEYS = 1_000_000  # nodes that may be broadcast; more are joined by shuffle
 
@@ -175,7 +176,7 @@ def _window_pairs(window: int, percent: int, borders: bool):
                 i = i[rows["component"][i] != rows["component"][i - s]]
                 small, large = np.minimum(rows["n"][i], rows["n"][i - s]), np.maximum(rows["n"][i], rows["n"][i - s])
                 i = i[100 * small >= percent * large]
-                i = i[(rows["low"][i] == rows["low"][i - s]).sum(axis=1) >= SIGNATURE // 2]
+                i = i[(rows["low"][i] == rows["low"][i - s]).sum(axis=1) >= LEAST]
                 if len(i):
                     x, y = rows["node"][i], rows["node"][i - s]
                     yield pack(pairs=(np.minimum(x, y), np.maximum(x, y)))
@@ -258,21 +259,27 @@ def rest_pairs(nodes: DataFrame, dense: DataFrame, docs: DataFrame, text_col: st
                 h = np.frombuffer(s.as_buffer(), np.int64)
                 yield arrow_rows(["node", "n", "h"], [pa.int64(), pa.int64(), pa.int64()], [np.full(len(h), node), np.full(len(h), n), h])
 
-    postings = written(sets.mapInArrow(listed, "node long, n long, h long"), "postings")
-    shared = written(postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    # shingles of one node only come first in its order; they fill places but meet nobody
-    own = F.col("n") - F.size("l")
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own
-    rare = spread_join(postings, shared, "h", shared.select("h", F.col("df").alias("n")), "node").groupBy("node", "n").agg(
+    postings = spread_join(sets.mapInArrow(listed, "node long, n long, h long"), members.select("node", "component"), "node", sets.select("node", "n"), "h")
+    postings = written(postings, "postings")
+    shared = postings.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    shared = written(shared.select("h", "df"), "frequencies")
+    # shingles that no other component has come first in a node's order: they fill places but meet nobody
+    alone = F.col("n") - F.size("l")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    rare = spread_join(postings, shared, "h", shared.select("h", F.col("df").alias("n")), "node").groupBy("node", "n", "component").agg(
         F.array_sort(F.collect_list(F.struct("df", "h"))).alias("l"))  # one text's own shingles
-    rare = rare.where(reach > 0).select("node", "n", F.explode(F.slice("l", 1, reach.cast("int"))).alias("x"))
-    placed = written(rare.select(F.col("x.h").alias("h"), "node", "n").join(members.select("node", "component"), "node"), "rare")
+    rare = rare.where(reach > 0).select("node", "n", "component", F.size("l").alias("most"), F.posexplode(F.slice("l", 1, reach.cast("int"))).alias("i", "x"))
+    placed = written(rare.select(F.col("x.h").alias("h"), "node", "n", "component", (F.col("most") - F.col("i")).alias("left")), "rare")
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("m"))
-    heavy = sizes.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("heavy"), F.count("*").alias("sides")).where("sides > 1").select("h", "heavy")
-    split = placed.join(heavy, "h")
-    light = split.where("component <> heavy").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = light.join(split.select("h", "heavy", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "h")
-    met = met.where("cx <> cy AND (cy = heavy OR cx < cy)").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    heavy = sizes.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("heavy"), F.count("*").alias("sides"), F.sum("m").alias("m"))
+    heavy = written(heavy.where("sides > 1"), "heavy")
+    counts = heavy.select("h", F.col("m").alias("n"))
+    split = written(spread_join(placed, heavy.select("h", "heavy"), "h", counts, "node"), "split")
+    light = split.where("component <> heavy").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("left").alias("lx"))
+    other = split.select("h", "heavy", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("left").alias("ly"))
+    met = spread_join(other, light, "h", counts, "y").where("cx <> cy AND (cy = heavy OR cx < cy)")
+    # the first shingle that two sets share leaves each at least as many shingles, itself included, as they must have in common
+    met = met.where((100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -282,7 +289,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, window: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, window: int = 8) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per document."""
     each = written(signed(docs, id_col, text_col, width), "signed")
     named = each.where("node IS NOT NULL").groupBy("node").agg(
