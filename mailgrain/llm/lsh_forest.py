@@ -286,7 +286,8 @@ def rest_pairs(nodes: DataFrame, dense: DataFrame, docs: DataFrame, text_col: st
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """`nodes` with the component each belongs to by `links`."""
     parts = components(links)
-    return written(nodes.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    few = parts.count() <= MOST_KEYS
+    return written(nodes.drop("component").join(F.broadcast(parts) if few else parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, window: int = 8) -> DataFrame:
