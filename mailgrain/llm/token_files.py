@@ -5,19 +5,19 @@ index (min and max per page, written by default) lets a reader fetch a few docum
 touching other pages. Row groups are bounded in bytes. With dictionary encoding, a row group's ids are stored as
 dictionary places of 16 bits at most for a vocabulary of 50,000; delta encoding uses format version 2.
 
-Null text is empty and holds the end id alone; null ids sort first; rows with the same id are all kept, ordered by
-the crc32 of their ids. Other columns are ignored; an empty table gives empty files.
+Null text is empty and holds the end id alone; null ids sort first; rows with the same id are all kept, ordered by a hash
+of their text, and may lie in several files. Other columns are ignored; an empty table gives empty files.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
-from .common import arrow_rows, with_prefix
+from .common import arrow_rows, written
 from .encoding import encoder, vocabulary
 
 
@@ -44,7 +44,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                  encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, files: int | None = None):
     """Write the ids of `docs` below `path` in ascending id order. Only texts are shuffled, never ids."""
     parts = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
+    order = [F.col(id_col), F.xxhash64(text_col)]
+    ordered = docs.select(id_col, text_col).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "compression": "snappy",
                "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
     if encoding == "delta":
@@ -63,22 +64,36 @@ def read_tokens(spark, path: str, first=None, last=None, columns=None, id_col: s
 
 
 def checksums(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_tokens, ids_crc32) of read ids, as unsigned little-endian 32-bit numbers."""
+    """(file, block, id_col, before, n_tokens, ids_crc32) of read ids, as unsigned little-endian 32-bit numbers.
+
+    `before` counts the ids that come earlier in the same block of the same file; a task reads a block from its first row to its last."""
 
     def run(batches):
+        here, before = None, 0
         for b in batches:
             lists = b.column(1)
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(at, at[1:])]
-            yield arrow_rows([id_col, "n_tokens", "ids_crc32"], [b.schema.field(0).type, pa.int64(), pa.int64()], [b.column(0), np.diff(at), crc])
+            starts = []
+            for place, n in zip(zip(b.column(2).to_pylist(), b.column(3).to_pylist()), np.diff(at)):
+                if place != here:
+                    here, before = place, 0
+                starts.append(before)
+                before += int(n)
+            yield arrow_rows(["file", "block", id_col, "before", "n_tokens", "ids_crc32"], [pa.string(), pa.int64(), b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()],
+                             [b.column(2), b.column(3), b.column(0), starts, np.diff(at), crc])
 
-    kept = tokens.select(id_col, "ids")
-    return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, n_tokens long, ids_crc32 long")
+    kept = tokens.select(id_col, "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return kept.mapInArrow(run, f"file string, block long, `{id_col}` {dict(kept.dtypes)[id_col]}, before long, n_tokens long, ids_crc32 long")
 
 
 def token_index(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write `docs`, read the files back: (id_col, start, n_tokens, ids_crc32)."""
+    """Write `docs`, read the files back once: (id_col, start, n_tokens, ids_crc32). File names ascend with the ids, so one total per block is all that is summed."""
     path = shared_folder(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, id_col=id_col, text_col=text_col, **options)
-    back = checksums(read_tokens(docs.sparkSession, path, id_col=id_col), id_col)
-    return with_prefix(back, [id_col, "ids_crc32", "n_tokens"], "n_tokens", "start").select(id_col, "start", "n_tokens", "ids_crc32")
+    back = written(checksums(docs.sparkSession.read.parquet(path), id_col), "index")
+    totals = back.groupBy("file", "block").agg(F.sum("n_tokens").alias("total"))
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("file", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
+    return back.join(F.broadcast(offsets), ["file", "block"]).select(  # one row per block of a file
+        id_col, (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
