@@ -39,10 +39,10 @@ def exact_dedup(t):
     return jn.first_by_content(t.documents, order="doc_id")
 
 
-@query("j2_exclude_keys", with_views([], """SELECT min(doc_id) AS doc_id, content_key FROM keyed WHERE lang = 'en'
-AND content_key NOT IN (SELECT content_key FROM keyed WHERE lang = 'en' AND source = 'src3') GROUP BY content_key""", KEYED))
+@query("j2_exclude_keys", with_views([], """SELECT min(doc_id) AS doc_id, content_key FROM keyed
+WHERE content_key NOT IN (SELECT content_key FROM keyed WHERE source = 'src3') GROUP BY content_key""", KEYED))
 def exclude_keys(t):
-    docs = t.documents.where("lang = 'en'").select("doc_id", "source", "text")
+    docs = t.documents.select("doc_id", "source", "text")
     held = docs.where("source = 'src3'").select(content_key(F.col("text")).alias("content_key"))
     return jn.first_by_content(docs, order="doc_id", exclude=held)
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.base import ratio
 from ..functions.policy import expected_cost
 from ..functions.stats import jeffreys_precision_draws, precision_at_prevalence, share, wilson
+from .curves import running_totals
 from .joins import cross_with_values, one_row
 
 
@@ -157,43 +158,47 @@ def percentile_interval(value: Column) -> tuple[Column, Column]:
     return F.percentile(value, 0.025), F.percentile(value, 0.975)
 
 
-def bootstrap_auc(df: DataFrame, score: str, label: str = "label", replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """ROC-AUC of every bootstrap replicate (Poisson resampling of each class).
+def score_blocks(df: DataFrame, score: str, label: str = "label", blocks: int = 4096) -> DataFrame:
+    """(block, pos, neg, area): at most `blocks` + 1 consecutive ranges of scores with about equal mail counts.
 
-    Scores are counted, range-partitioned and sorted. A task keeps three running numbers per replicate
-    (weights of both classes seen and the area so far), so its memory does not grow with the mails; the
-    parts are combined by one running sum over the partitions.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    `area` counts the block's own pairs of a positive above a negative, ties half. A score never spans two blocks; with
+    no more different scores than `blocks` every score that holds its share is a block of its own."""
     counted = df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    ranged = counted.repartitionByRange(parts, "score").sortWithinPartitions("score").withColumn("part", F.spark_partition_id())
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"), F.count("*").alias("n"))
+    placed = running_totals(counted, [], "score", ["n"], descending=False)
+    total = one_row(placed.agg(F.sum("n").alias("n")))["n"]
+    placed = placed.withColumn("block", F.floor((F.col("n_run") - F.col("n")) * blocks / total))
+    below = Window.partitionBy("block").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # one block's scores
+    pairs = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2.0)
+    return placed.withColumn("pairs", pairs).groupBy("block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("pairs").alias("area"))
+
+
+def bootstrap_auc(df: DataFrame, score: str, label: str = "label", replicates: int = 2000, seed: int = 0, blocks: int = 4096) -> DataFrame:
+    """ROC-AUC of every stratified bootstrap replicate.
+
+    A replicate redraws both classes as one multinomial over score blocks, so its cost depends on the number of blocks
+    alone. Pairs from different blocks are exact. Pairs inside a block count with the block's own share of ordered
+    pairs; they are less than one in `blocks` of all pairs where classes are mixed. Draws depend on the seed and the
+    replicate only, never on how data are dealt.
+    """
+    table = score_blocks(df, score, label, blocks).agg(F.array_sort(F.collect_list(F.struct("block", "pos", "neg", "area"))).alias("cells"))  # at most blocks + 1 rows
 
-    def weigh(batches):
-        rng, pos_total, neg_total, area, part = None, np.zeros(replicates), np.zeros(replicates), np.zeros(replicates), None
-        for pdf in batches:
-            if len(pdf) == 0:
+    @F.pandas_udf("double")
+    def draw(replicate: pd.Series, cells: pd.Series) -> pd.Series:
+        out = []
+        for b, c in zip(replicate, cells):
+            pos, neg, area = (np.array([x[k] for x in c], dtype=float) for k in ("pos", "neg", "area"))
+            if not pos.sum() or not neg.sum():
+                out.append(np.nan)
                 continue
-            if rng is None:
-                part = int(pdf["part"].iloc[0])
-                rng = np.random.default_rng([seed, part])
-            for start in range(0, len(pdf), 256):  # slices keep the weight matrices small
-                piece = pdf.iloc[start:start + 256]
-                wp = rng.poisson(piece["pos"].to_numpy(float)[:, None], (len(piece), replicates))
-                wn = rng.poisson(piece["neg"].to_numpy(float)[:, None], (len(piece), replicates))
-                below = neg_total + np.cumsum(wn, axis=0) - wn
-                area += (wp * (below + wn / 2.0)).sum(axis=0)
-                pos_total += wp.sum(axis=0)
-                neg_total += wn.sum(axis=0)
-        if rng is not None:
-            yield pd.DataFrame({"replicate": np.arange(replicates), "part": part, "pos": pos_total, "neg": neg_total, "area": area})
-
-    pieces = ranged.mapInPandas(weigh, "replicate long, part int, pos double, neg double, area double")
-    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    lifted = pieces.withColumn("_below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
-    return lifted.groupBy("replicate").agg(F.try_divide(
-        F.sum(F.col("area") + F.col("pos") * F.col("_below")), F.sum("pos") * F.sum("neg")).alias("auc"))
+            rng = np.random.default_rng([seed, int(b)])
+            p, n = (rng.multinomial(int(x.sum()), x / x.sum()).astype(float) for x in (pos, neg))
+            inside = np.divide(area, pos * neg, out=np.zeros_like(area), where=pos * neg > 0)
+            out.append(float((p * (np.cumsum(n) - n)).sum() + (p * n * inside).sum()) / (p.sum() * n.sum()))
+        return pd.Series(out)
+
+    replicas = table.select("cells", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("replicate")
+    return replicas.select(F.col("replicate").cast("long").alias("replicate"), F.nanvl(draw("replicate", "cells"), F.lit(None)).alias("auc"))
 
 
 def prevalence_table(counts: DataFrame, prevalences, draws: int = 20000, blocks: int = 20) -> DataFrame:

@@ -4,10 +4,11 @@ Spark splits the archives and the files. One Arrow-batched pass takes messages a
 headers and text parts as they are; which parts make the body, what the subject is and whether it is mail at all are columns.
 """
 
+import re
 from email import message_from_bytes, policy
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
@@ -90,15 +91,60 @@ def _finish(decoded: DataFrame, label, source: Column, scrub, hooks) -> DataFram
     return rows.where(F.length("text") >= lx.MIN_TEXT_CHARS)
 
 
+HEADER_LINE = re.compile(rb"[^\n]*\n[!-9;-~]+:")  # the rest of an envelope line, then a header
+
+
+_STITCHED = ["file_name", "file_path", "block", "kind", "content"]
+
+
+def _stitched(batches):
+    """Records between `From ` lines to messages: a record not followed by a header line goes on with the message before it.
+
+    Rows of a block come in file order. What a block holds before its first envelope leaves as its lead, its last message is
+    marked, and everything between is whole."""
+    place, kind, pieces = None, None, []
+    for batch in batches:
+        out = []
+
+        def leave(kind):
+            if pieces:
+                out.append((*place, kind, b"".join(pieces)))
+
+        for name, path, block, value in zip(*(batch[c].tolist() for c in _STITCHED[:3] + ["value"])):
+            opens = HEADER_LINE.match(value)
+            if (name, path, block) != place:
+                leave(kind)
+                place, kind, pieces = (name, path, block), "lead", []
+                opens = opens or block == 0
+            if opens:
+                leave("whole" if kind == "last" else kind)
+                kind, pieces = "last", [value.partition(b"\n")[2]]  # without its envelope line
+            else:
+                pieces.append(b"\nFrom " + value)
+        yield pd.DataFrame(out, columns=_STITCHED)
+    if pieces:
+        yield pd.DataFrame([(*place, kind, b"".join(pieces))], columns=_STITCHED)
+
+
 def _scan_mbox(spark: SparkSession, path, recursive=False) -> DataFrame:
-    """One row per message. The reader hands the bytes through undecoded, so charsets stay intact."""
+    """One row per message. Spark reads byte ranges and hands the bytes through undecoded, so charsets stay intact.
+
+    A `From ` line opens a message only before a header line; other such lines are body. A message that a byte range cuts is
+    put together from the last message of one range and the leads of those after it (two small rows per range); the files
+    are scanned once more for these."""
     reader = spark.read.option("lineSep", "\nFrom ")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    lines = reader.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"))
-    # every record starts with the rest of its envelope line
-    message = F.substring(F.col("value"), F.locate("\n", F.col("value")) + 1, F.length("value"))
-    return lines.where(F.col("value") != "").select("file_name", "file_path", message.cast("binary").alias("content"))
+    records = reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
+                                       F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    parts = records.mapInPandas(_stitched, "file_name string, file_path string, block long, kind string, content binary")
+    ends = parts.where("kind <> 'whole'").withColumn("opens", F.when(F.col("kind") == "last", F.col("block")))
+    before = Window.partitionBy("file_path").orderBy("block", F.col("opens").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    owned = ends.withColumn("owner", F.last("opens", ignorenulls=True).over(before))  # two rows per byte range of a file
+    pieces = F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "last", -1).otherwise(F.col("block")).alias("at"), "content")))  # one message
+    joined = owned.groupBy("file_name", "file_path", "owner").agg(pieces.alias("l")).select(
+        "file_name", "file_path", F.aggregate("l", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("content"))
+    return parts.where("kind = 'whole'").select("file_name", "file_path", "content").unionByName(joined).where(F.length("content") > 0)
 
 
 def read_mbox(spark: SparkSession, path, label: int, source: str, scrub=None, hooks=()) -> DataFrame:
@@ -111,12 +157,12 @@ def read_mbox_folder(spark: SparkSession, path, label: int, prefix: str = "", sc
     return _finish(decode_messages(scan), label, source_from_file_name(F.col("file_name"), prefix), scrub, hooks)
 
 
-def read_message_files(spark: SparkSession, path, label: int, source: str, pattern: str = "*", skip=("cmds",), scrub=None, hooks=()) -> DataFrame:
-    """One message per file."""
+def read_message_files(spark: SparkSession, path, label: int, source: str | Column, pattern: str = "*", skip=("cmds",), scrub=None, hooks=()) -> DataFrame:
+    """One message per file; `source` is a name, or a column made of `file_path` and `file_name`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     name = F.substring_index("path", "/", -1)
     scan = files.where(~name.isin(list(skip))).select(F.col("path").alias("file_path"), name.alias("file_name"), "content")
-    return _finish(decode_messages(scan), label, F.lit(source), scrub, hooks)
+    return _finish(decode_messages(scan), label, source if isinstance(source, Column) else F.lit(source), scrub, hooks)
 
 
 def read_export(spark: SparkSession, path, label: int, source: str, scrub=None, hooks=()) -> DataFrame:

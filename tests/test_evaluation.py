@@ -137,6 +137,39 @@ def test_auc_bootstrap_is_centred(scored):
     assert r.m == pytest.approx(point, abs=0.01) and 0.005 < r.s < 0.05
 
 
+def test_auc_bootstrap_equals_resampling_rows(spark):
+    rng = np.random.default_rng(7)
+    label = (rng.random(400) < 0.3).astype(int)
+    score = np.round(rng.normal(label * 1.2, 1.0), 1)  # with ties
+    df = spark.createDataFrame([(float(s), int(y)) for s, y in zip(score, label)], "score double, label int")
+
+    def area(p, n):
+        return float(((p[:, None] > n).sum() + (p[:, None] == n).sum() / 2) / (len(p) * len(n)))
+
+    p, n = score[label == 1], score[label == 0]
+    brute = [area(rng.choice(p, len(p)), rng.choice(n, len(n))) for _ in range(2000)]
+    for blocks in (4096, 64):  # every score a block of its own, and about 6 mails a block
+        got = [r.auc for r in mt.bootstrap_auc(df, "score", blocks=blocks).collect()]
+        assert len(got) == 2000
+        for q in (2.5, 50, 97.5):
+            assert np.percentile(got, q) == pytest.approx(np.percentile(brute, q), abs=0.006)
+    cells = mt.score_blocks(df, "score", blocks=64)
+    assert cells.count() <= 65
+    # the draws follow seed and replicate, not the number of partitions
+    first = {r.replicate: r.auc for r in mt.bootstrap_auc(df, "score", replicates=20).collect()}
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert {r.replicate: r.auc for r in mt.bootstrap_auc(df, "score", replicates=20).collect()} == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_auc_bootstrap_of_one_class_has_no_value(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.7, 1)], "score double, label int")
+    assert {r.auc for r in mt.bootstrap_auc(df, "score", replicates=5).collect()} == {None}
+
+
 def test_jeffreys_interval_without_false_alarms(spark):
     counts = spark.createDataFrame([(90, 0, 500, 10)], "tp long, fp long, tn long, fn long")
     r = mt.prevalence_table(counts, [0.01]).first()

@@ -150,3 +150,22 @@ def test_rule_transformer_round_trip(spark, tmp_path):
     again = RuleFeatures.load(str(tmp_path / "stage"))
     df = spark.createDataFrame([("verify http://1.2.3.4/",)], "text string")
     assert again.transform(df).first().rule_features == stage.transform(df).first().rule_features
+
+
+@pytest.mark.parametrize("range_bytes", ["64", "150", "128m"])
+def test_mbox_messages_across_byte_ranges(spark, tmp_path, range_bytes):
+    """Whatever the byte ranges: body lines that start with From stay, long messages are whole, bytes are untouched."""
+    bodies = [b"plain text of the first mail", b"a line\n\nFrom here on it is body\nand ends", b"\xe4\xf6\xfc latin bytes " + b"x" * 500,
+              b"From \nFrom the start\nFrom twice", b"short"]
+    mbox = b"".join(b"From a@b.example Mon Jan  6 09:00:00 2025\nSubject: mail %d\n\n%s\n\n" % (i, b) for i, b in enumerate(bodies))
+    (tmp_path / "one.mbox").write_bytes(mbox)
+    (tmp_path / "two.mbox").write_bytes(mbox.replace(b"mail", b"post"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        rows = ar._scan_mbox(spark, str(tmp_path / "*.mbox")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = sorted(("one.mbox" if kind == b"mail" else "two.mbox", b"Subject: %s %d\n\n%s" % (kind, i, b.replace(b"mail", kind)))
+                  for kind in (b"mail", b"post") for i, b in enumerate(bodies))
+    assert sorted((r.file_name, bytes(r.content).rstrip(b"\n")) for r in rows) == want
