@@ -8,13 +8,14 @@ import re
 from email import message_from_bytes, policy
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
 from ..functions.base import collapse, literal_array, strip
 from ..functions.html import html_text
 from ..functions.text import clean_whitespace, cut, source_from_file_name
+from .records import PARTS, PARTS_SCHEMA, whole_records
 
 PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string>>"
 _PIECE_NAMES = ["headers", "parts"]
@@ -94,9 +95,6 @@ def _finish(decoded: DataFrame, label, source: Column, scrub, hooks) -> DataFram
 HEADER_LINE = re.compile(rb"[^\n]*\n[!-9;-~]+:")  # the rest of an envelope line, then a header
 
 
-_STITCHED = ["file_name", "file_path", "block", "kind", "content"]
-
-
 def _stitched(batches):
     """Records between `From ` lines to messages: a record not followed by a header line goes on with the message before it.
 
@@ -110,7 +108,7 @@ def _stitched(batches):
             if pieces:
                 out.append((*place, kind, b"".join(pieces)))
 
-        for name, path, block, value in zip(*(batch[c].tolist() for c in _STITCHED[:3] + ["value"])):
+        for name, path, block, value in zip(*(batch[c].tolist() for c in PARTS[:3] + ["value"])):
             opens = HEADER_LINE.match(value)
             if (name, path, block) != place:
                 leave(kind)
@@ -121,9 +119,9 @@ def _stitched(batches):
                 kind, pieces = "last", [value.partition(b"\n")[2]]  # without its envelope line
             else:
                 pieces.append(b"\nFrom " + value)
-        yield pd.DataFrame(out, columns=_STITCHED)
+        yield pd.DataFrame(out, columns=PARTS)
     if pieces:
-        yield pd.DataFrame([(*place, kind, b"".join(pieces))], columns=_STITCHED)
+        yield pd.DataFrame([(*place, kind, b"".join(pieces))], columns=PARTS)
 
 
 def _scan_mbox(spark: SparkSession, path, recursive=False) -> DataFrame:
@@ -137,14 +135,8 @@ def _scan_mbox(spark: SparkSession, path, recursive=False) -> DataFrame:
         reader = reader.option("recursiveFileLookup", "true")
     records = reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"),
                                        F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-    parts = records.mapInPandas(_stitched, "file_name string, file_path string, block long, kind string, content binary")
-    ends = parts.where("kind <> 'whole'").withColumn("opens", F.when(F.col("kind") == "last", F.col("block")))
-    before = Window.partitionBy("file_path").orderBy("block", F.col("opens").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    owned = ends.withColumn("owner", F.last("opens", ignorenulls=True).over(before))  # two rows per byte range of a file
-    pieces = F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "last", -1).otherwise(F.col("block")).alias("at"), "content")))  # one message
-    joined = owned.groupBy("file_name", "file_path", "owner").agg(pieces.alias("l")).select(
-        "file_name", "file_path", F.aggregate("l", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["content"])).alias("content"))
-    return parts.where("kind = 'whole'").select("file_name", "file_path", "content").unionByName(joined).where(F.length("content") > 0)
+    parts = records.mapInPandas(_stitched, PARTS_SCHEMA)
+    return whole_records(parts).where(F.length("content") > 0)
 
 
 def read_mbox(spark: SparkSession, path, label: int, source: str, scrub=None, hooks=()) -> DataFrame:

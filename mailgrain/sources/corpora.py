@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from .. import lexicons as lx
 from ..functions.base import strip
 from ..functions.text import compose_mail_text, cut, normalised_label
+from .records import csv_columns, quoted_records
 
 
 def scan_csv(spark: SparkSession, path, columns) -> DataFrame:
-    """Quoted CSV with embedded line breaks; every column a string, never inferred."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Quoted CSV with a heading and embedded line breaks, read by byte ranges; every column a string, never inferred."""
+    return csv_columns(quoted_records(spark, path), columns)
 
 
 def load_csv(spark: SparkSession, path, columns=("text", "label", "source"), text: str = "text", label: str = "label") -> DataFrame:

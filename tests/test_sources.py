@@ -169,3 +169,26 @@ def test_mbox_messages_across_byte_ranges(spark, tmp_path, range_bytes):
     want = sorted(("one.mbox" if kind == b"mail" else "two.mbox", b"Subject: %s %d\n\n%s" % (kind, i, b.replace(b"mail", kind)))
                   for kind in (b"mail", b"post") for i, b in enumerate(bodies))
     assert sorted((r.file_name, bytes(r.content).rstrip(b"\n")) for r in rows) == want
+
+
+@pytest.mark.parametrize("range_bytes", ["40", "97", "128m"])
+def test_quoted_csv_across_byte_ranges(spark, tmp_path, range_bytes):
+    """Equal to the reader that takes whole files, whatever the byte ranges."""
+    import csv
+    texts = ["plain", 'say "hi", then\ngo', "line\nbreak\n\nand " + "long " * 60, '""', "", "comma, only", "ends with quote\"", "\"\n\"", "\u00e4\u00f6 \u4e2d", "last\n"]
+    for name, shift in (("a.csv", 0), ("b.csv", 3)):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL if shift else csv.QUOTE_MINIMAL)
+            out.writerow(["text", "label"])
+            out.writerows([t, str(i)] for i, t in enumerate(texts[shift:] + texts[:shift]))
+    whole = spark.read.schema("text string, label string").option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(str(tmp_path))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", range_bytes)
+    try:
+        scan = co.scan_csv(spark, str(tmp_path), ("text", "label"))
+        got = sorted(((r.text or "", r.label) for r in scan.collect()))
+        ranges = spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((r.text or "", r.label) for r in whole.collect()) and len(got) == 20
+    assert ranges > 5 or range_bytes == "128m"
