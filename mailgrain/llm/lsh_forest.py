@@ -240,6 +240,40 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     return written(met.mapInArrow(run, "a long, b long"), "links")
 
 
+def _rare_by_table(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(h, node, n, component, left): the rarest shared shingles of every node, `left` counts its shared ones from there on.
+
+    `shared` has at most `MOST_KEYS` rows (16 bytes each) here; every task looks its sets up in it."""
+    table = shared.orderBy("h").toArrow()
+    known = shared.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), table.column(1).to_numpy()))
+
+    def run(batches):
+        keys, df = known.value
+        for b in batches:
+            for node, n, component, s in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+                h, at = h[found], at[found]
+                reach = n - -(-n * percent // 100) + 1 - (n - len(h))  # shingles of one component alone come first and meet nobody
+                if reach > 0:
+                    first = np.lexsort((h, df[at]))[:reach]
+                    yield arrow_rows(["h", "node", "n", "component", "left"], [pa.int64()] * 5,
+                                     [h[first], np.full(len(first), node), np.full(len(first), n), np.full(len(first), component), len(h) - np.arange(len(first))])
+
+    return sets.mapInArrow(run, "h long, node long, n long, component long, left long")
+
+
+def _rare_by_join(postings: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The same where the shared shingles are too many for a table in every task."""
+    alone = F.col("n") - F.size("l")
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    rare = spread_join(postings, shared, "h", shared.select("h", F.col("df").alias("n")), "node").groupBy("node", "n", "component").agg(
+        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("l"))  # one text's own shingles
+    rare = rare.where(reach > 0).select("node", "n", "component", F.size("l").alias("most"), F.posexplode(F.slice("l", 1, reach.cast("int"))).alias("i", "x"))
+    return rare.select(F.col("x.h").alias("h"), "node", "n", "component", (F.col("most") - F.col("i")).cast("long").alias("left"))
+
+
 def rest_pairs(nodes: DataFrame, dense: DataFrame, docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """Candidates inside dense regions that hold several components: every pair of theirs at the similarity is among them."""
     places = orders(nodes, range(TREES)).select("tree", F.shiftright("k1", 16 * (4 - DEPTH)).alias("prefix"), "node", "component")
@@ -251,25 +285,20 @@ def rest_pairs(nodes: DataFrame, dense: DataFrame, docs: DataFrame, text_col: st
     few = mixed.count() <= MOST_KEYS
     open_nodes = inside.join(F.broadcast(mixed) if few else mixed, ["tree", "prefix"], "left_semi").select("node").distinct()
     members = written(nodes.join(open_nodes, "node", "left_semi").select("node", "component", "key"), "members")
-    sets = written(_sets(docs, members.select("key"), text_col, width), "sets")
+    sets = _sets(docs, members.select("key"), text_col, width)
+    sets = written(sets.join(members.select("node", "component"), "node").select("node", "n", "component", "shingles"), "sets")
 
     def listed(batches):
         for b in batches:
-            for node, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for node, n, component, s in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 h = np.frombuffer(s.as_buffer(), np.int64)
-                yield arrow_rows(["node", "n", "h"], [pa.int64(), pa.int64(), pa.int64()], [np.full(len(h), node), np.full(len(h), n), h])
+                yield arrow_rows(["node", "n", "component", "h"], [pa.int64()] * 4, [np.full(len(h), node), np.full(len(h), n), np.full(len(h), component), h])
 
-    postings = spread_join(sets.mapInArrow(listed, "node long, n long, h long"), members.select("node", "component"), "node", sets.select("node", "n"), "h")
-    postings = written(postings, "postings")
+    postings = sets.mapInArrow(listed, "node long, n long, component long, h long")
     shared = postings.groupBy("h").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     shared = written(shared.select("h", "df"), "frequencies")
-    # shingles that no other component has come first in a node's order: they fill places but meet nobody
-    alone = F.col("n") - F.size("l")
-    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    rare = spread_join(postings, shared, "h", shared.select("h", F.col("df").alias("n")), "node").groupBy("node", "n", "component").agg(
-        F.array_sort(F.collect_list(F.struct("df", "h"))).alias("l"))  # one text's own shingles
-    rare = rare.where(reach > 0).select("node", "n", "component", F.size("l").alias("most"), F.posexplode(F.slice("l", 1, reach.cast("int"))).alias("i", "x"))
-    placed = written(rare.select(F.col("x.h").alias("h"), "node", "n", "component", (F.col("most") - F.col("i")).alias("left")), "rare")
+    few = shared.count() <= MOST_KEYS
+    placed = written(_rare_by_table(sets, shared, percent) if few else _rare_by_join(postings, shared, percent), "rare")
     sizes = placed.groupBy("h", "component").agg(F.count("*").alias("m"))
     heavy = sizes.groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("heavy"), F.count("*").alias("sides"), F.sum("m").alias("m"))
     heavy = written(heavy.where("sides > 1"), "heavy")

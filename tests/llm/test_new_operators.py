@@ -68,8 +68,9 @@ def family_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,window", [(1, 2), (2, 8)])
-def test_forest_equals_brute_force(spark, seed, window):
+@pytest.mark.parametrize("seed,window,most", [(1, 2, 1_000_000), (2, 8, 1_000_000), (1, 2, 0)])
+def test_forest_equals_brute_force(spark, monkeypatch, seed, window, most):
+    monkeypatch.setattr(lf, "MOST_KEYS", most)
     rows = family_rows(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("component", F.lit(2))
     got = sorted((tuple(r) for r in lf.near_duplicates(df, window=window).collect()), key=repr)
