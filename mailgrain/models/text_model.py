@@ -200,7 +200,7 @@ class TextModel:
         """
         key, o = prepared.id_column, self.options
         rows = prepared.rows.join(labels.select(key, F.col("label").cast("double").alias("label")), key)
-        rows = rows.persist()
+        rows = durable(rows)  # not cached: fits side by side may share this plan, and the first to finish would drop it for the others
         counts = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two classes
         n = sum(counts.values())
         if o.use_text:
@@ -217,7 +217,6 @@ class TextModel:
         vectors = vectors.repartition(partitions or int(entries // ENTRIES_PER_TASK) + 1).persist()
         self._solve(vectors, n)
         vectors.unpersist()
-        rows.unpersist()
         self.meta |= {"phishing_share_in_training": round(counts.get(1, 0) / n, 4), "rows": n}
         return self
 
