@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree (void elements, raw-text elements, implied end tags of p, li, td and the like, unclosed inline
-tags and stray end tags are handled). For every node:
+tags and stray end tags are handled) in one scan, linear in its length. A quote opens an attribute's value only right
+after "="; if quotes hide every further ">", the next ">" ends the tag and quotes of that page count no more. A tag that
+the end of the page cuts off is no text. For every node:
 
 * characters C, tags T, characters and tags inside links LC and LT of the whole subtree;
 * density: (C / T) * log base b of (C / LC * T / LT), with b = ln(C / notLC * LC + LCbody / Cbody * C + e), and zero
@@ -21,6 +23,8 @@ page order. Pages are independent and each is read whole. Null or empty html, or
 Repeated rows repeat their result; other columns are ignored; an empty table gives an empty result.
 """
 
+import bisect
+import collections
 import html as entities
 import itertools
 import math
@@ -31,8 +35,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_rows
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")  # a quote opens a value only right after its "="
+_PLAIN_REST = re.compile(r"([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|(\S++)))?""")
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,54 +85,88 @@ def _is_boilerplate(tag, attributes, inside_main) -> bool:
     return False
 
 
+class _Open:
+    """The open elements and, for every tag, the depths at which it is open, so that no look-up walks up the tree."""
+
+    def __init__(self, root):
+        self.stack, self.at, self.blocks = [root], collections.defaultdict(list), [0]
+
+    def push(self, node):
+        self.at[node.tag].append(len(self.stack))
+        if node.tag != "p" and node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth):
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, tags):
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def first_beyond(self, tags, depth):
+        found = [(self.at[t], bisect.bisect_right(self.at[t], depth)) for t in tags]
+        return min((where[i] for where, i in found if i < len(where)), default=None)
+
+
 def parse(page: str) -> Node:
-    """Tree of elements; children are nodes or strings of decoded text."""
-    root = here = Node("#root", None)
-    at = 0
+    """Tree of elements; children are nodes or strings of decoded text. One scan, linear in the page."""
+    root = Node("#root", None)
+    opened, at, rest = _Open(root), 0, _REST
+    paragraphs = opened.at["p"]
     while True:
-        m = _TOKEN.search(page, at)
+        here = opened.stack[-1]
+        m = _START.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text:
             here.children.append(entities.unescape(text) if "&" in text else text)
         if not m:
             return root
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[2]:
+            ends = "-->" if m[0] == "<!--" else ">"
+            end = page.find(ends, m.end())
+            at = end + len(ends) if end >= 0 else len(page)
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
+        tail = rest.match(page, m.end())
+        if not tail and rest is _REST:  # quotes that hide every further tag end are not trusted again in this page
+            rest = _PLAIN_REST
+            tail = rest.match(page, m.end())
+        if not tail:
+            return root  # the end of the page cuts this tag off
+        at = tail.end()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened.at[tag]:
+                opened.cut(opened.at[tag][-1])
             elif tag == "p":
                 here.children.append(Node("p", here))
             continue
-        if tag in ENDS_P:
-            node = here
-            while node is not root and (node.tag in INLINE or node.tag == "p"):
-                if node.tag == "p":
-                    here = node.parent
-                    break
-                node = node.parent
+        if tag in ENDS_P and paragraphs and paragraphs[-1] > opened.blocks[-1]:
+            opened.cut(paragraphs[-1])
         closed = CLOSES.get(tag)
         if closed:
-            node, scope = here, SCOPES.get(tag, {"table"})
-            while node is not root and node.tag not in scope:
-                if node.tag in closed:
-                    here = node.parent
-                node = node.parent
+            outermost = opened.first_beyond(closed, opened.last(SCOPES.get(tag, ("table",))))
+            if outermost is not None:
+                opened.cut(outermost)
+        here = opened.stack[-1]
         new = Node(tag, here)
-        new.drop = tag not in ("html", "body") and _is_boilerplate(tag, m[3], new.inside)
+        new.drop = tag not in ("html", "body") and _is_boilerplate(tag, tail[1], new.inside)
         here.children.append(new)
         if tag in RAW:
             new.drop = True
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = new
+        elif tag not in VOID and not _closes_itself(tail[1]):
+            opened.push(new)
+
+
+def _closes_itself(attributes: str) -> bool:
+    """A slash at the end counts, unless it ends an unquoted value (href=/a/)."""
+    _, value, last = attributes.rpartition("=")
+    return attributes.endswith("/") and not (value and re.fullmatch(r"\s*[^\s\"']+", last))
 
 
 def _measure(root: Node):
@@ -206,10 +246,11 @@ def main_text(page) -> str:
     if centre is path[-1] or any(n.tag in ("article", "main") for n in path):
         _collect(kept, out)
     else:
+        way = set(path)
         below = [*itertools.takewhile(lambda n: not n.drop, path)]  # a dropped wrapper bounds the search as the body does
         top = path[min(len(below), len(path) - 1)]
         for n in _reaching(top, min(n.density for n in below)):
-            _collect(n, out, kept, path)
+            _collect(n, out, kept, way)
     return " ".join("".join(out).split())
 
 
