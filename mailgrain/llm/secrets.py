@@ -41,14 +41,25 @@ _MARK, _OTHER = "\ue000", "\ue001"  # a mark around matches; in texts it is firs
 _BINS = 300
 
 
+def _running_ends(lengths: Column, block: int = 128) -> Column:
+    """Running sums of an array. Only the sums of whole blocks are gathered by a growing array; inside a block they are added up anew."""
+
+    def sums(x):
+        add = lambda part: F.aggregate(part, F.lit(0), lambda a, v: a + v)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda i: add(F.slice(x, i * block + 1, block)))
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+        return let(before, lambda b: F.transform(x, lambda _, i: F.get(b, F.floor(i / block).cast("int")) + add(F.slice(x, i - i % block + 1, i % block + 1))))
+
+    return let(lengths, sums)
+
+
 def _pieces(text: Column, pattern: str, then) -> Column:
     """`then(match, start, end)` for each non-overlapping match, leftmost first, as an array; nulls drop out."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
 
     def walk(parts):
-        ends = F.aggregate(parts, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(
-            (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p)).cast("int"))))
-        return let(ends, lambda e: F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1), lambda i: then(F.get(parts, i), F.get(e, i - 1), F.get(e, i))))
+        return let(_running_ends(F.transform(parts, F.length)), lambda e: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1), lambda i: then(F.get(parts, i), F.get(e, i - 1), F.get(e, i))))
 
     return F.when(F.rlike(text, F.lit(pattern)), F.filter(let(F.split(marked, _MARK), walk), lambda x: x.isNotNull()))
 
