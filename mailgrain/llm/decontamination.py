@@ -95,9 +95,12 @@ def _counted(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str =
 
     # extension: exact words, only for documents with a match
     suspects = keyed.alias("d").join(spots.alias("s"), same).select("d.id", "d.h", words_of(F.col("d.text")).alias("w"), "s.spots").dropDuplicates(["id", "h"])
+    # a range is one number, so that telling ranges apart hashes them instead of comparing all
+    step = window + 1
     ranges = F.flatten(F.transform("spots", lambda s: F.flatten(F.transform(
-        F.sequence(s["first"], s["last"]), lambda i: F.transform(s["lengths"], lambda n: F.struct(i.alias("at"), n.alias("n")))))))
-    inside = F.filter(F.array_distinct(ranges), lambda r: (r["at"] >= 0) & (r["at"] + r["n"] <= F.size("w")))
+        F.sequence(F.greatest(s["first"], F.lit(0)), s["last"]), lambda i: F.transform(s["lengths"], lambda n: i.cast("long") * step + n)))))
+    places = F.transform(F.array_distinct(ranges), lambda r: F.struct(F.floor(r / step).cast("int").alias("at"), (r % step).cast("int").alias("n")))
+    inside = F.filter(places, lambda r: r["at"] + r["n"] <= F.size("w"))
     tried = suspects.select("id", "h", F.explode(F.transform(inside, lambda r: F.struct(
         r["at"].alias("at"), r["n"].alias("n"), F.array_join(F.slice(F.col("w"), r["at"] + 1, r["n"]), " ").alias("window")))).alias("r"))
     owners = windows.groupBy("window", "n").agg(F.collect_set("item").alias("items"))
