@@ -7,10 +7,12 @@ Texts with characters outside the checked range, odd blanks, or files with other
 full `encode`; so the result always equals it (tests/llm/test_encoding.py).
 """
 
+import gc
 import json
 import re
 import unicodedata
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -61,8 +63,12 @@ class Encoder:
         if self.kind == "words":
             piece = piece.lower()
             parts = (piece,) if piece.isalpha() else _WORDS.findall(piece)
+        elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self.word(piece)
+        elif piece[-1] in ".," and piece[1:-1].isalpha() and piece[0] == " ":  # a word and the mark that ends it
+            return self.word(piece[:-1]) + self.word(piece[-1])
         else:
-            parts = (piece,) if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else _BYTES.findall(piece)
+            parts = _BYTES.findall(piece)
         return b"".join([words[w] if w in words else self.word(w) for w in parts])
 
     def word(self, w: str) -> bytes:
@@ -94,14 +100,17 @@ class Encoder:
         kept = self.kept
         if len(kept) > self.most_kept:
             kept.clear()
-        try:
-            return first + b"".join([kept[p] for p in pieces])
-        except KeyError:
+        got = list(map(kept.get, pieces))
+        if None in got:
             lead = "" if self.kind == "words" else " "
-            for p in pieces:
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                p = pieces[at]
                 if p not in kept:
                     kept[p] = self._piece(lead + p)
-            return first + b"".join([kept[p] for p in pieces])
+                got[at] = kept[p]
+        return first + b"".join(got)
 
     @staticmethod
     def blank_pieces(text: str):
@@ -145,6 +154,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def no_collections():
+    """No searches for reference cycles while texts are encoded: each new piece makes a list of tokens, none of them cyclic."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
 from .common import arrow_rows, written
-from .encoding import encoder, vocabulary
+from .encoding import encoder, no_collections, vocabulary
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +30,8 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "
         for b in batches:
             for part in range(0, b.num_rows, 256):  # bounded ids in memory
                 rows = b.slice(part, 256)
-                ids = [enc.ids(t.as_py() or "") + end for t in rows.column(1)]
+                with no_collections():
+                    ids = [enc.ids(t) + end if t else end for t in rows.column(1).to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
