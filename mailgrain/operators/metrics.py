@@ -102,7 +102,7 @@ def policy_costs(rates: DataFrame, cost_ratio, prevalence, review_cost=0.0) -> D
     return rates.withColumn("cost_per_1000", 1000 * cost)
 
 
-def bootstrap_policy_rates(df: DataFrame, bands: dict, score: str, label: str = "label", replicates: int = 2000, seed: int = 0) -> DataFrame:
+def bootstrap_policy_rates(df: DataFrame, bands: dict, score: str, label: str = "label", replicates: int = 2000, seed: int = 0, keys=()) -> DataFrame:
     """Stratified bootstrap of policy rates, paired across policies.
 
     Rates depend on a mail only through its class and the interval between neighbouring band limits
@@ -115,8 +115,8 @@ def bootstrap_policy_rates(df: DataFrame, bands: dict, score: str, label: str =
     place = F.lit(0)
     for x in limits:
         place = place + F.when(p > x, 2).when(p == x, 1).otherwise(0)
-    counts = df.groupBy((place + F.when(F.col(label) == 1, 2 * len(limits) + 1).otherwise(0)).alias("k")).agg(F.count("*").alias("n"))
-    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counts"))  # a bounded number of cells
+    counts = df.groupBy(*keys, (place + F.when(F.col(label) == 1, 2 * len(limits) + 1).otherwise(0)).alias("k")).agg(F.count("*").alias("n"))
+    table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counts"))  # a bounded number of cells
     named = list(bands.items())
     width = 2 * len(limits) + 1
 
@@ -145,12 +145,12 @@ def bootstrap_policy_rates(df: DataFrame, bands: dict, score: str, label: str =
         return pd.Series(out)
 
     # one row of counts becomes one small row per replicate, spread over the tasks
-    replicas = table.select("counts", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("replicate")
+    replicas = table.select(*keys, "counts", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("replicate")
     drawn = replicas.withColumn("rates", draw("replicate", "counts"))
     names = F.lit([n for n, _ in named])
-    rows = drawn.select("replicate", F.explode(F.arrays_zip(names.alias("policy"), F.col("rates").alias("rates"))).alias("r"))
+    rows = drawn.select(*keys, "replicate", F.explode(F.arrays_zip(names.alias("policy"), F.col("rates").alias("rates"))).alias("r"))
     value = lambda i: F.get(F.col("r.rates"), F.lit(i))
-    return rows.select("replicate", F.col("r.policy").alias("policy"), value(0).alias("fnr"), value(1).alias("fpr"),
+    return rows.select(*keys, "replicate", F.col("r.policy").alias("policy"), value(0).alias("fnr"), value(1).alias("fpr"),
                        value(2).alias("review_phishing"), value(3).alias("review_legit"))
 
 
