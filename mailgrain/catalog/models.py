@@ -215,6 +215,19 @@ def stream_first_seen(t):
     return t.spark.read.parquet(out).agg(F.count("*").alias("kept"))
 
 
+@query("x2_first_rows", "SELECT k AS content_key, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS event_id FROM (SELECT *, user_id || ' ' || event_type AS k FROM events) q GROUP BY k")
+def stream_first_rows(t):
+    """First event per user and kind by event time, over micro-batches that bring the latest events first."""
+    arrived, out = shared_folder(t.spark, "events"), shared_folder(t.spark, "first")
+    text = F.concat_ws(" ", "user_id", "event_type")
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), text.alias("text"))
+    events.repartitionByRange(4, F.desc("ts")).write.parquet(arrived)
+    stream = st.mail_stream(t.spark, arrived, events.schema, files_per_trigger=1)
+    st.run_available(st.first_so_far(stream, "ts", "event_id", "text"), out, shared_folder(t.spark, "progress"))
+    first = st.settled(t.spark.read.parquet(out), "ts", "event_id")
+    return first.join(events, "event_id").select(F.col("text").alias("content_key"), "event_id")
+
+
 # ---------------------------------------------------------------- fitted models
 @query("u3_rule_transformer", None)
 def rule_transformer(t):
