@@ -206,3 +206,13 @@ def test_adoption_and_chi_square_on_empty_cells(spark):
     assert mt.adoption(counts.where("only_a_correct < 9")).first().adopted is True
     same = spark.createDataFrame([("x", 1.0), ("y", 1.0)], "g string, s double")
     assert mt.chi_square(same, F.col("s") > 2, "g").first().statistic == 0.0
+
+
+def test_verdict_percentages_round_the_product(spark):
+    """A score whose percentage falls a last bit short of a tie: 0.0715 * 100 is 7.1499..., times ten it is 71.5."""
+    from types import SimpleNamespace
+
+    from mailgrain.catalog.evaluation import verdict_text
+    table = spark.createDataFrame([(1, 0.0715), (2, 0.5135), (3, 0.25), (4, 1.0)], "doc_id long, score_a double")
+    said = {r.doc_id: r.verdict.split(": ")[1].split("%")[0] for r in verdict_text(SimpleNamespace(scored=table)).collect()}
+    assert said == {1: "7.2", 2: "51.4", 3: "25.0", 4: "100.0"}
