@@ -107,3 +107,18 @@ def test_flag_lookup_first_duplicate_wins(spark):
     table = spark.createDataFrame([("x", 5, False), ("x", 2, True)], "k string, o long, f boolean")
     got = {r.id: (r.f, r.matched) for r in jn.lookup_flags(df, table, "k", ["f"], "o").collect()}
     assert got == {1: (True, True), 2: (False, False)}
+
+
+def test_blocks_of_mails_give_the_same_candidates_as_one_task(spark):
+    """Candidates leave a cell, products do not: however the mails are dealt, every similar pair of different components is met."""
+    mails = make_mails(90)
+    df = spark.createDataFrame(mails, "id long, text string")
+    reps = sim.collapse_equal(sim.unit_vectors(df, "id", "text", (), 2, 0.5))[1]
+    index = sim.indexed_terms(reps, 0.8)
+    entries = sim._by_mail(index.withColumns({"comp": F.col("id") % 40, "heavy": F.lit(False)})).persist()
+    pairs = {n: {tuple(r) for r in sim._matched(entries, None, 0.8, n).collect()} for n in (1, 3, 5)}
+    assert pairs[1] == pairs[3] == pairs[5]
+    v = vectors(mails, 2, 0.5)
+    kept = {r.id for r in reps.select("id").collect()}
+    similar = {(a, b) for a in kept for b in kept if a < b and a % 40 != b % 40 and sum(w * v[b].get(k, 0) for k, w in v[a].items()) >= 0.8}
+    assert similar and similar <= pairs[1] and len(pairs[1]) < len(kept) * (len(kept) - 1) / 4
