@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space as one Java character class body; Java's own \s only knows ASCII.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"  # the characters of SPACE
 WORD = r"\p{L}\p{N}_"
 WORD_EDGE_LEFT = rf"(?<![{WORD}])"
 WORD_EDGE_RIGHT = rf"(?![{WORD}])"
@@ -51,7 +52,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -59,6 +60,12 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
+def settled(df, *names):
+    """Columns `names` as values: a condition on them is not pushed below and does not evaluate their expressions a second time."""
+    row = F.explode_outer(F.array(F.struct(*[F.col(n) for n in names]))).alias("_row")
+    return df.select(*[F.col(c) for c in df.columns if c not in names], row).select(*[F.col(f"_row.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

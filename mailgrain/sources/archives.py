@@ -6,19 +6,55 @@ headers and text parts as they are; which parts make the body, what the subject
 
 import re
 from email import message_from_bytes, policy
+from email.headerregistry import HeaderRegistry
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
-from ..functions.base import collapse, literal_array, strip
+from ..functions.base import collapse, literal_array, settled, strip
 from ..functions.html import html_text
 from ..functions.text import clean_whitespace, cut, source_from_file_name
 from .records import PARTS, PARTS_SCHEMA, whole_records
 
+BYTES_AT_ONCE = 4_000_000  # raw mail that is taken apart before the pieces leave the worker
 PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string>>"
-_PIECE_NAMES = ["headers", "parts"]
+_ARROW_PIECES = (pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])),
+                 pa.list_(pa.struct([("kind", pa.string()), ("attached", pa.bool_()), ("content", pa.string())])))
+
+
+_STRUCTURED = frozenset(n for n, kind in HeaderRegistry().registry.items() if n != "subject")
+_PLAIN = re.compile(r"[ -~]*")
+_ADDRESS_HEADERS = frozenset(("from", "to", "cc", "bcc", "sender", "reply-to"))
+_ADDRESS = re.compile(r"(?:[A-Za-z0-9]+(?: [A-Za-z0-9]+)* <)?[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*@[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*>?")
+
+
+class _Headers(HeaderRegistry):
+    """The library's header values without its grammar where the text is already the value.
+
+    That holds for unstructured headers in printable ASCII without encoded words and for one simple address. The library asks for
+    the content headers again and again, so what it parsed last is kept (a bounded number of them)."""
+
+    def __init__(self):
+        super().__init__()
+        self.parsed = lru_cache(1024)(super().__call__)
+
+    def __call__(self, name, value):
+        low = name.lower()
+        if low not in _STRUCTURED:
+            if _PLAIN.fullmatch(value) and "=?" not in value:
+                return value
+        elif low in _ADDRESS_HEADERS and _ADDRESS.fullmatch(value) and ("<" in value) == value.endswith(">"):
+            return value
+        return self.parsed(name, value)
+
+
+MAIL_POLICY = policy.default.clone(header_factory=_Headers())
 
 
 def _characters(part) -> str:
@@ -33,7 +69,7 @@ def _characters(part) -> str:
 def take_apart(raw: bytes):
     """(headers, text parts) of one message, or None where the library gives up on it."""
     try:
-        message = message_from_bytes(raw, policy=policy.default)
+        message = message_from_bytes(raw, policy=MAIL_POLICY)
         headers = [{"name": n, "value": str(v)} for n, v in message.items()]
         texts = [(p.get_content_type(), p.get_content_disposition() == "attachment", _characters(p)) for p in message.walk() if p.get_content_maintype() == "text"]
     except Exception:
@@ -41,6 +77,17 @@ def take_apart(raw: bytes):
     return headers, [{"kind": k, "attached": a, "content": c} for k, a, c in texts]
 
 
+def _bounded(batch, content: str):
+    """Slices of a batch with a bounded number of raw bytes, one mail at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(content)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + BYTES_AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
     """Replace the binary column by is_mail, subject, body, header_block, html, plain; unreadable messages are skipped."""
     keys = [f for f in raw.schema if f.name != content]
@@ -48,11 +95,12 @@ def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
     names = [f.name for f in keys]
 
     def run(batches):
-        for pdf in batches:
-            taken = pdf[content].map(lambda c: take_apart(bytes(c)))
-            there = taken.notna()
-            pieces = pd.DataFrame(taken[there].tolist(), columns=_PIECE_NAMES)
-            yield pd.concat([pdf.loc[there, names].reset_index(drop=True), pieces], axis=1)
+        for batch in batches:
+            for part in _bounded(batch, content):
+                taken = [take_apart(raw) for raw in part.column(content).to_pylist()]
+                there = pa.array([i for i, t in enumerate(taken) if t is not None], pa.int64())
+                pieces = [pa.array([t[i] for t in taken if t is not None], kind) for i, kind in enumerate(_ARROW_PIECES)]
+                yield pa.RecordBatch.from_arrays([part.column(n).take(there) for n in names] + pieces, [*names, "headers", "parts"])
 
     def shown(kind):
         return F.transform(F.filter("parts", lambda p: (p["kind"] == kind) & ~p["attached"]), lambda p: p["content"])
@@ -61,7 +109,7 @@ def decode_messages(raw: DataFrame, content: str = "content") -> DataFrame:
     subjects = F.filter("headers", lambda h: F.lower(h["name"]) == "subject")
     plain, html = shown("text/plain"), shown("text/html")
     body = F.when(F.exists(plain, lambda t: strip(t) != ""), plain).otherwise(F.transform(html, html_text))
-    return raw.mapInPandas(run, schema).select(
+    return raw.mapInArrow(run, schema).select(
         *names,
         F.arrays_overlap(name, literal_array(lx.MAIL_HEADER_NAMES)).alias("is_mail"),
         F.coalesce(collapse(F.get(subjects, F.lit(0))["value"]), F.lit("")).alias("subject"),
@@ -89,7 +137,7 @@ def _finish(decoded: DataFrame, label, source: Column, scrub, hooks) -> DataFram
         rows = rows.withColumn("text", scrub(F.col("text")))
     for hook in hooks:  # user functions DataFrame -> DataFrame, e.g. header signals per message
         rows = rows.transform(hook)
-    return rows.where(F.length("text") >= lx.MIN_TEXT_CHARS)
+    return settled(rows, "text").where(F.length("text") >= lx.MIN_TEXT_CHARS)
 
 
 HEADER_LINE = re.compile(rb"[^\n]*\n[!-9;-~]+:")  # the rest of an envelope line, then a header

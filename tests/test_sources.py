@@ -192,3 +192,31 @@ def test_quoted_csv_across_byte_ranges(spark, tmp_path, range_bytes):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == sorted((r.text or "", r.label) for r in whole.collect()) and len(got) == 20
     assert ranges > 5 or range_bytes == "128m"
+
+
+def test_mail_headers_equal_the_library_without_its_grammar():
+    from email import message_from_bytes, policy
+    names = ["From", "To", "Subject", "X-A", "Reply-To", "Date", "Message-ID", "Content-Type", "Received", "Content-Disposition", "Resent-From"]
+    values = ["a@b.example", "Shop <a@b.c>", "Shop  A <a@b>", '"Q, x" <a@b.c>', "a@b.c, d@e.f", "a@b>", "Shop <a@b", "x y@z.com", "=?utf-8?Q?h=C3=A4?= x", "fold\n  more text",
+              "t\tab", "trail  ", "café", "", "text/html; charset=x", "Mon, 6 Jan 2025 09:00:00 +0000", "a?="]
+    for name in names:
+        for value in values:
+            raw = f"{name}: {value}\n\nbody".encode()
+            assert ar.take_apart(raw)[0] == [{"name": n, "value": str(v)} for n, v in message_from_bytes(raw, policy=policy.default).items()]
+    values = ar._Headers()
+    assert type(values("Received", "from a by b")) is str and type(values("From", "Shop <a@b.c>")) is str  # no grammar ran
+
+
+def test_mails_are_taken_apart_in_bounded_slices():
+    import pyarrow as pa
+    sizes = [3_000_000, 500_000, 9_000_000, 10, 10, None]
+    batch = pa.RecordBatch.from_pydict({"content": pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())})
+    assert [s.num_rows for s in ar._bounded(batch, "content")] == [2, 1, 3]
+
+
+def test_the_length_filter_does_not_compute_the_text_again(spark):
+    raw = spark.createDataFrame([(bytearray(b"Subject: a\n\n" + b"long enough " * 5),), (bytearray(b"Subject: a\n\nno"),)], "content binary")
+    rows = ar._finish(ar.decode_messages(raw), 1, F.lit("x"), None, ()).select("text")
+    assert [r.text[:10] for r in rows.collect()] == ["Subject: a"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(Subject: ") == 1
