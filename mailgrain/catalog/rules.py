@@ -8,6 +8,7 @@ from ..functions.rules import rule_verdict, with_rules
 from ..functions.urls import (brand_in_foreign_domain, host_of, is_free_hosting, is_ip_host, is_shortener, raw_urls,
                               registered_domain)
 from ..operators.joins import unresolved_hosts
+from ..session import durable
 from .registry import query
 from .rules_sql import (LINKS, RULES, foreign_brand, free_hosting, keywords_sql, links_sql, reg_domain, rules_sql)
 from .views import with_views
@@ -233,7 +234,8 @@ def url_feature_rates(t):
     f"round(greatest(-3.0, least(3.0, ({n} - m_{n}) / CASE WHEN s_{n} = 0 THEN 1.0 ELSE s_{n} END)), 5) AS {n}" for n in lx.FEATURES_V2)
     + " FROM features_v2, (SELECT " + ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in lx.FEATURES_V2) + " FROM features_v2) s", FEATURES))
 def scaled_features(t):
-    scaled = standardise_and_clip(with_features(t.mail, 2).select("doc_id", *lx.FEATURES_V2), lx.FEATURES_V2)
+    features = durable(with_features(t.mail, 2).select("doc_id", *lx.FEATURES_V2))  # some numbers a mail, read for the moments and again
+    scaled = standardise_and_clip(features, lx.FEATURES_V2)
     return scaled.select("doc_id", *[F.round(n, 5).alias(n) for n in lx.FEATURES_V2])
 
 

@@ -1,11 +1,14 @@
 """Rule engine and features on hand-made mails."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
+from mailgrain import lexicons as lx
+from mailgrain.functions.features import with_features
 from mailgrain.functions.features import feature_names, with_features, with_url_features
-from mailgrain.functions.rules import with_rules
+from mailgrain.functions.rules import caps_ratio, with_rules
 from mailgrain.functions.urls import (brand_in_foreign_domain, host_of, inspect_url, is_free_hosting, is_ip_host, is_shortener,
                                       registered_domain)
 
@@ -128,3 +131,29 @@ def test_url_features_skip_ip_hosts(rows):
     assert list(a)[2:] == [0.0] * 8
     assert b.url_redirect_param == 1.0 and b.url_max_subdomain_depth == 0.5 and b.url_max_host_hyphens == 0.25
     assert math.isclose(b.url_distinct_domains_log, math.log1p(1))
+
+
+def test_rule_patterns_by_brute_force(rows):
+    """Keyword edges, capitals, base64 blocks and bait words on texts of many short pieces."""
+    import random
+    draw = random.Random(3)
+    pieces = ["verify", "Verify", "verifyé", "_login", "login", "LOGIN", "ABCD", "ABCDe", "éABCD", "a@gmail.com", "bank", "A" * 79, "A" * 81, " ", ".", "/", "1", "see attached", "DocuSign", "document ready", "!!!", "$$$$$"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 7))) for _ in range(300)] + ["a\U0001f600verify\nABCD\nABCDEF"]
+    out = with_rules(rows(texts)).select("id", "keyword_hits", "blob_score", "address_score").collect()
+    lure = {r.id: r.lure_attachment_pretext for r in with_features(rows(texts), 3).select("id", "lure_attachment_pretext").collect()}
+    caps = {r.id: r.c for r in rows(texts).select("id", caps_ratio(F.col("text"))[1].alias("c")).collect()}
+    for r in out:
+        text, low = texts[r.id], texts[r.id].lower()
+        for term in ("verify", "login", "password"):
+            assert r.keyword_hits.get(term, 0) == sum(t == term for t in re.split(r"[\W]+", low)), text
+        assert (r.blob_score > 0) == bool(re.search(r"[A-Za-z0-9+/]{80,}={0,2}", text))
+        n = len(re.findall(r"[A-Za-z]{4,}", text))
+        assert caps[r.id] == (len(re.findall(r"(?<![A-Za-z])[A-Z]{4,}(?![A-Za-z])", text)) / n if n else 0.0), text
+        assert abs(lure[r.id] - math.log1p(len(re.findall(lx.LURE_PATTERNS["attachment_pretext"], text, re.I | re.A)))) < 1e-12, text
+
+
+def test_keyword_totals_count_every_text_once(spark):
+    """No inferred filter repeats the counts of all keywords below the rows of the terms."""
+    from mailgrain import catalog
+    plan = catalog.QUERIES["j13_keyword_dimension"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 1
