@@ -122,3 +122,13 @@ def test_blocks_of_mails_give_the_same_candidates_as_one_task(spark):
     kept = {r.id for r in reps.select("id").collect()}
     similar = {(a, b) for a in kept for b in kept if a < b and a % 40 != b % 40 and sum(w * v[b].get(k, 0) for k, w in v[a].items()) >= 0.8}
     assert similar and similar <= pairs[1] and len(pairs[1]) < len(kept) * (len(kept) - 1) / 4
+
+
+def test_postings_count_a_bounded_number_of_terms_at_a_time(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(tf, "TERMS_AT_ONCE", 4)
+    lists = [["a", "b", "a"], [], None, ["b"], ["c"] * 9, ["é", "a"]]
+    out = list(tf._counted([pa.RecordBatch.from_pydict({"id": list(range(6)), "_tokens": pa.array(lists, pa.list_(pa.string()))})]))
+    assert len(out) == 3
+    found = {(r["id"], r["term"]): r["n"] for b in out for r in b.to_pylist()}
+    assert found == {(i, t): l.count(t) for i, l in enumerate(lists) if l for t in l}

@@ -6,7 +6,6 @@ import re
 from pyspark.sql import functions as F
 
 from mailgrain import lexicons as lx
-from mailgrain.functions.features import with_features
 from mailgrain.functions.features import feature_names, with_features, with_url_features
 from mailgrain.functions.rules import caps_ratio, with_rules
 from mailgrain.functions.urls import (brand_in_foreign_domain, host_of, inspect_url, is_free_hosting, is_ip_host, is_shortener,
