@@ -124,6 +124,32 @@ def test_blocks_of_mails_give_the_same_candidates_as_one_task(spark):
     assert similar and similar <= pairs[1] and len(pairs[1]) < len(kept) * (len(kept) - 1) / 4
 
 
+def test_cells_go_a_few_columns_at_a_time_and_lose_no_candidate(spark, monkeypatch):
+    """Every round reads at most about two copies of the mails a column; before, one query held a copy per block."""
+    df = spark.createDataFrame(make_mails(90), "id long, text string")
+    index = sim.indexed_terms(sim.unit_vectors(df, "id", "text", (), 2, 0.5), 0.8)
+    entries = sim._by_mail(index.withColumns({"comp": F.col("id") % 40, "heavy": F.lit(False)})).persist()
+    whole = {tuple(r) for r in sim._matched(entries, None, 0.8, 6).collect()}
+    asked = []
+    plain = sim._matched
+    monkeypatch.setattr(sim, "ENTRIES_PER_BLOCK", 150)
+    monkeypatch.setattr(sim, "_matched", lambda *a: asked.append((a[3], a[4])) or plain(*a))
+    assert {tuple(r) for r in sim._crossing_candidates(entries, 0.8).collect()} == whole
+    (blocks,) = {b for b, _ in asked}
+    assert blocks > 4 and [j for _, c in asked for j in c] == list(range(blocks)) and all(len(c) <= sim.COLUMNS_AT_ONCE for _, c in asked)
+
+
+def test_a_lineage_cut_leaves_no_shuffle_files_behind(spark):
+    from mailgrain.session import CLEAN_SHUFFLES, durable
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n"))
+    blocks = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines())
+    there = blocks()
+    kept = durable(df)
+    assert not {b for b in blocks() - there if "shuffle_" in b} and spark.conf.get(CLEAN_SHUFFLES) == before
+    assert kept.count() == 700 == df.count()
+
+
 def test_postings_count_a_bounded_number_of_terms_at_a_time(monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(tf, "TERMS_AT_ONCE", 4)
