@@ -165,9 +165,11 @@ def generated_csv(t):
 def message_files(t):
     """One file per message, in a folder per language, read by the folder reader."""
     out = shared_folder(t.spark, "messages")
-    raw = F.regexp_replace(F.expr(RAW), r"^[^\n]*\n", "")
-    _messages(t).select("lang", F.col("doc_id").alias("mail"), raw.alias("value")).write.partitionBy("lang", "mail").text(out)
-    mails = ar.read_message_files(t.spark, f"{out}/*/*", 0, F.regexp_extract("file_path", "/lang=([^/]+)/", 1))
+    raw = F.concat(F.regexp_replace(F.expr(RAW), r"^[^\n]*\n", ""), F.lit("\n"))
+    folder = F.coalesce(F.concat(F.lit("lang="), F.url_encode("lang")), F.lit("none"))
+    ar.write_message_files(_messages(t).select(F.concat(folder, F.lit("/"), "doc_id", F.lit(".eml")).alias("place"), F.encode(raw, "UTF-8").alias("content")), out)
+    lang = F.when(F.col("file_path").contains("/lang="), F.url_decode(F.regexp_extract("file_path", "/lang=([^/]*)/", 1)))
+    mails = ar.read_message_files(t.spark, f"{out}/*", 0, lang)
     return mails.groupBy("source").agg(F.count("*").alias("mails"))
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from ..functions.html import html_text
 from ..functions.text import clean_whitespace, cut, source_from_file_name
 from .records import PARTS, PARTS_SCHEMA, whole_records
 
+TASKS_PER_SLOT = 8
 BYTES_AT_ONCE = 4_000_000  # raw mail that is taken apart before the pieces leave the worker
 PIECES = "headers array<struct<name:string,value:string>>, parts array<struct<kind:string,attached:boolean,content:string>>"
 _ARROW_PIECES = (pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])),
@@ -202,9 +204,32 @@ def read_message_files(spark: SparkSession, path, label: int, source: str | Colu
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     name = F.substring_index("path", "/", -1)
     scan = files.where(~name.isin(list(skip))).select(F.col("path").alias("file_path"), name.alias("file_name"), "content")
+    scan = scan.coalesce(TASKS_PER_SLOT * max(spark.sparkContext.defaultParallelism, 1))  # Spark plans a task per handful of small files
     return _finish(decode_messages(scan), label, source if isinstance(source, Column) else F.lit(source), scrub, hooks)
 
 
+def write_message_files(mails: DataFrame, folder: str) -> int:
+    """One file per row of `mails` (`place`: its path below `folder`; `content`: bytes), written by the tasks; returns their number.
+
+    A task that runs again writes the same files again. `folder` must be one that `pyarrow.fs` opens. Spark's own writer with a
+    partition per mail makes a folder per mail, which the driver then moves one by one."""
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(folder.replace("file:///", "/") if folder.startswith("file:") else folder)
+        made = set()
+        for batch in batches:
+            for place, content in zip(batch.column("place"), batch.column("content")):
+                path = f"{root}/{place.as_py()}"
+                above = path.rpartition("/")[0]
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
+                with store.open_output_stream(path) as out:
+                    out.write(content.as_py() or b"")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    return mails.select("place", "content").mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def read_export(spark: SparkSession, path, label: int, source: str, scrub=None, hooks=()) -> DataFrame:
     """Finished exports: plain archives and package folders (`x.mbox/mbox`), partial ones left out."""
     p = F.col("file_path")

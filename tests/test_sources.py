@@ -49,6 +49,29 @@ def test_message_files_html_fallback_and_attachment(spark, tmp_path):
     assert "http://x.example/1" in r.text and "secret" not in r.text and r.text.startswith("Subject: s\n\n")
 
 
+def test_many_message_files_are_written_side_by_side_and_read_in_few_tasks(spark, tmp_path):
+    """Before, every mail had a folder of its own and every few files a task of their own."""
+    data = [(f"{'ab'[i % 2]}/{i}.eml", f"From: a@b.example\nSubject: s{i}\n\n{LONG}\n".encode()) for i in range(600)]
+    out = f"file://{tmp_path}/out"
+    assert ar.write_message_files(spark.createDataFrame(data, "place string, content binary").repartition(5), out) == 600
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+    assert (tmp_path / "out/b/7.eml").read_bytes() == data[7][1]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a task
+    try:
+        mails = ar.read_message_files(spark, f"{out}/*", 0, "pot")
+        assert mails.rdd.getNumPartitions() <= ar.TASKS_PER_SLOT * spark.sparkContext.defaultParallelism
+        assert {r.subject for r in mails.collect()} == {f"s{i}" for i in range(600)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_message_files_keep_any_language(spark, tmp_path):
+    from mailgrain.catalog.registry import QUERIES
+    spark.createDataFrame([(1, LONG, "a/b", "s"), (2, LONG, None, "s"), (3, LONG, "", "s"), (4, LONG, "a/b", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.source: r.mails for r in QUERIES["s5_message_files"](spark, str(tmp_path)).collect()} == {"a/b": 2, None: 1, "": 1}
+
+
 def test_export_skips_partial_archives(spark, tmp_path):
     for name in ("a.mbox", "b.partial.mbox"):
         box = mailbox.mbox(str(tmp_path / name))
