@@ -79,6 +79,28 @@ def test_products_equal_dense_gram_matrix(spark, mails):
     assert got[0] == pytest.approx(x @ (x.T @ v[0]))
 
 
+def test_a_pass_reads_columns_without_spelling_out_their_terms(spark, mails):
+    """Before, every pass made a Python string of every term and a logarithm for every entry."""
+    index = tm.prepare(mails, tm.ModelOptions(use_rules=False)).index
+    n = mails.count()
+    fits = ti.Fits((), ("word", "char"), (2, 5), 2, np.array([[i % 3 != 0 for i in range(n)]]), {}, {})
+    seen = 0
+    for batch in index.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            record = ti.Record(batch, i)
+            idf = fits.idf(record, 0)
+            assert "terms" not in vars(record)
+            inside = fits.train[0][record.rows].astype(int)
+            df = np.array([inside[a:a + k].sum() for a, k in zip(record.starts, record.lens)])
+            low, high = ti.BLOCKS[record.block]
+            m = int(fits.train[0].sum())
+            keep = (df >= low) & (df <= high * m)
+            assert idf == pytest.approx(np.where(keep, np.log((1 + m) / (1 + df)) + 1, 0))
+            assert (record.frequencies() == 1.0 + np.log(record.counts.astype(float))).all()
+            seen += len(record.terms)
+    assert seen > 100
+
+
 def test_character_terms_equal_the_column_function(spark, rows):
     from mailgrain.operators import tfidf as tf
     df = rows(["ab abc ab", "a", "", "é日本 x\ty  zzzzzzzz"])
