@@ -13,9 +13,11 @@ import re
 import unicodedata
 from array import array
 from contextlib import contextmanager
+from operator import attrgetter
 
 import numpy as np
 
+_ID = attrgetter("id")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įĲ-ſ]*")
 _LETTERS = "".join(chr(i) for i in range(0xA1, 0x180) if unicodedata.category(chr(i))[0] == "L")
 _NUMBERS = "".join(chr(i) for i in range(0xA1, 0x180) if unicodedata.category(chr(i))[0] == "N")
@@ -35,6 +37,17 @@ def _byte_characters():
     return out
 
 
+class _Known(dict):
+    """Ids by piece; a new piece is encoded when it is first looked up."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece):
+        got = self[piece] = self.encode(piece)
+        return got
+
+
 class Encoder:
     """`ids(text)`: little-endian unsigned 32-bit ids as bytes; strings of special tokens are ordinary text."""
 
@@ -54,33 +67,36 @@ class Encoder:
         elif steps == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"] and not rule["pretokenizers"][1]["use_regex"]:
             self.kind = "words"
         self.most_kept = most_kept
-        self.kept, self.words = {}, {}
+        self.kept, self.words = _Known(self._piece), _Known(self._tokens)
         self.as_bytes = str.maketrans({chr(k): v for k, v in _byte_characters().items()})
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece without inner blanks (kind bytes: with one blank before it, unless it opens the text)."""
-        words = self.words
+        """Ids of a piece without inner blanks (kind bytes: with one blank before it)."""
         if self.kind == "words":
             piece = piece.lower()
-            parts = (piece,) if piece.isalpha() else _WORDS.findall(piece)
-        elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self.word(piece)
-        elif piece[-1] in ".," and piece[1:-1].isalpha() and piece[0] == " ":  # a word and the mark that ends it
-            return self.word(piece[:-1]) + self.word(piece[-1])
+            if piece.isalpha():
+                return self._tokens(piece)
+            parts = _WORDS.findall(piece)
+        elif piece.isalpha():
+            return self._tokens(" " + piece)
+        elif piece[-1] in ".," and piece[:-1].isalpha():  # a word and the mark that ends it
+            return self.kept[piece[:-1]] + self.words[piece[-1]]
         else:
-            parts = _BYTES.findall(piece)
-        return b"".join([words[w] if w in words else self.word(w) for w in parts])
+            parts = _BYTES.findall(" " + piece)
+        return b"".join(map(self.words.__getitem__, parts))
+
+    def _tokens(self, w: str) -> bytes:
+        if w.isascii() and w.isprintable():
+            s = w.replace(" ", "\u0120")  # the only one of these characters that has another one standing for it
+        else:
+            s = w.encode().decode("latin-1").translate(self.as_bytes)
+        return array("I", map(_ID, self.model.tokenize(s))).tobytes()
 
     def word(self, w: str) -> bytes:
         """Ids of one pre-token."""
-        got = self.words.get(w)
-        if got is None:
-            s = w if w.isascii() else w.encode().decode("latin-1")
-            got = array("I", [t.id for t in self.model.tokenize(s.translate(self.as_bytes))]).tobytes()
-            if len(self.words) > self.most_kept:
-                self.words.clear()
-            self.words[w] = got
-        return got
+        if len(self.words) > self.most_kept:
+            self.words.clear()
+        return self.words[w]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,27 +106,16 @@ class Encoder:
             return b""
         if self.kind is None or not (text.isascii() and text.isprintable()) and not _PLAIN.fullmatch(text):
             return self.whole(text)
+        for known in (self.kept, self.words):
+            if len(known) > self.most_kept:
+                known.clear()
         if self.kind == "words":
-            pieces, first = text.split(), b""
-        else:
-            pieces = self.blank_pieces(text)
-            if pieces is None:
-                return b"".join(map(self.word, _BYTES.findall(text)))
-            first, pieces = self._piece(pieces[0]), pieces[1:]
-        kept = self.kept
-        if len(kept) > self.most_kept:
-            kept.clear()
-        got = list(map(kept.get, pieces))
-        if None in got:
-            lead = "" if self.kind == "words" else " "
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                p = pieces[at]
-                if p not in kept:
-                    kept[p] = self._piece(lead + p)
-                got[at] = kept[p]
-        return first + b"".join(got)
+            return b"".join(map(self.kept.__getitem__, text.split()))
+        pieces = self.blank_pieces(text)
+        if pieces is None:
+            return b"".join(map(self.words.__getitem__, _BYTES.findall(text)))
+        first = b"".join(map(self.words.__getitem__, _BYTES.findall(pieces[0])))  # no blank before it
+        return first + b"".join(map(self.kept.__getitem__, pieces[1:]))
 
     @staticmethod
     def blank_pieces(text: str):
@@ -125,16 +130,9 @@ class Encoder:
 
     def sizes(self, pieces):
         """Number of ids of pieces that follow a blank."""
-        kept = self.kept
-        if len(kept) > self.most_kept:
-            kept.clear()
-        out = []
-        for p in pieces:
-            got = kept.get(p)
-            if got is None:
-                got = kept[p] = self._piece(" " + p)
-            out.append(len(got) // 4)
-        return out
+        if len(self.kept) > self.most_kept:
+            self.kept.clear()
+        return [len(self.kept[p]) // 4 for p in pieces]
 
     def pre_tokens(self, text: str):
         """The splitting rule of kind bytes, on any text (falls back to the library's own splitter)."""

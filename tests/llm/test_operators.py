@@ -54,6 +54,15 @@ def test_cached_ids_equal_the_library(texts, name):
         assert enc.ids(t) == enc.whole(t), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_plain_piece_is_kept_once(name):
+    """Before, every word behind a blank was kept twice, by piece and by pre-token."""
+    enc = encoding.Encoder(encoding.vocabulary(name))
+    text = "First größe then words größe"
+    assert enc.ids(text) == enc.whole(text) == enc.ids(text)
+    assert {"größe", "then", "words"} <= set(enc.kept) and {w.strip() for w in enc.words} <= {"First"}
+
+
 # ---------------------------------------------------------------- 1
 def test_edited_counts(spark, table):
     rnd = random.Random(3)
