@@ -101,6 +101,23 @@ def test_a_pass_reads_columns_without_spelling_out_their_terms(spark, mails):
     assert seen > 100
 
 
+def test_passes_leave_no_queries_in_the_driver(spark, mails):
+    """Before, every pass of a fit was a query with a shuffle: the driver kept its plan and metrics, and threads waited for it."""
+    prepared = tm.prepare(mails, tm.ModelOptions())
+    n = prepared.size
+    fits = ti.Fits(tuple(c for c in prepared.rows.columns if c not in ("num", "doc_id")), ("word", "char"), (2, 5), 2, np.ones((1, n), dtype=bool), {}, {})
+    fits.scale = ti.fit_scales(prepared.index, fits)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    shared = spark.sparkContext.broadcast(fits)
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    first, again = (ti.gram_products(prepared.index, fits, shared, np.ones((1, n)), [0]) for _ in range(2))
+    bus.waitUntilEmpty()
+    assert store.executionsCount() == before
+    assert first == pytest.approx(again) and np.count_nonzero(first) == n
+    assert "terms" not in ti._passes(prepared.index, fits).columns
+
+
 def test_character_terms_equal_the_column_function(spark, rows):
     from mailgrain.operators import tfidf as tf
     df = rows(["ab abc ab", "a", "", "é日本 x\ty  zzzzzzzz"])
