@@ -101,6 +101,18 @@ def test_a_pass_reads_columns_without_spelling_out_their_terms(spark, mails):
     assert seen > 100
 
 
+def test_fits_that_have_no_room_together_go_one_after_another(spark, mails, monkeypatch):
+    """Before, the vectors of all folds, and of all models side by side, were on the driver at once, whatever the number of mails."""
+    options = tm.ModelOptions(use_char=False, use_rules=False, max_iter=4)
+    prepared = tm.prepare(mails, options)
+    scores = lambda: {r.doc_id: r.score for r in tm.oof_scores(prepared, mails, options, 5).collect()}
+    want, asked, whole = scores(), [], ti.gram_products
+    monkeypatch.setattr(ti, "gram_products", lambda index, fits, shared, vectors, which: asked.append(len(which)) or whole(index, fits, shared, vectors, which))
+    monkeypatch.setattr(tm, "_ROOM", tm._Room(2 * 8 * prepared.size * tm.SOLVER_VECTORS))
+    assert scores() == pytest.approx(want)
+    assert max(asked) == 2 and tm._ROOM.used == 0
+
+
 def test_passes_leave_no_queries_in_the_driver(spark, mails):
     """Before, every pass of a fit was a query with a shuffle: the driver kept its plan and metrics, and threads waited for it."""
     prepared = tm.prepare(mails, tm.ModelOptions())
