@@ -130,6 +130,19 @@ def test_passes_leave_no_queries_in_the_driver(spark, mails):
     assert "terms" not in ti._passes(prepared.index, fits).columns
 
 
+def test_rule_features_of_versions_that_share_names_are_made_side_by_side(spark, mails):
+    """Before, version 1 beside a later one failed: both have a `keyword_score`."""
+    from mailgrain.functions.features import feature_names, with_features
+    options = tm.ModelOptions(use_text=False, feature_version=4)
+    prepared = tm.prepare(mails, options, versions=(1,))
+    for version in (4, 1):
+        names = feature_names(version)
+        want = with_features(mails.select("doc_id", "text"), version).select("doc_id", *names).orderBy("doc_id").collect()
+        assert prepared.rows.select("doc_id", *names).orderBy("doc_id").collect() == want
+    model = tm.TextModel(tm.ModelOptions(use_text=False, feature_version=1, max_iter=3)).fit(prepared, mails)
+    assert {r.term for r in model.coefficients().collect()} == {f"rules__{n}" for n in feature_names(1)}
+
+
 def test_character_terms_equal_the_column_function(spark, rows):
     from mailgrain.operators import tfidf as tf
     df = rows(["ab abc ab", "a", "", "é日本 x\ty  zzzzzzzz"])
