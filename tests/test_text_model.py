@@ -143,6 +143,58 @@ def test_rule_features_of_versions_that_share_names_are_made_side_by_side(spark,
     assert {r.term for r in model.coefficients().collect()} == {f"rules__{n}" for n in feature_names(1)}
 
 
+def test_columns_keep_near_mails_in_a_byte_each(spark):
+    """Before, every entry took four bytes for its mail, in every pass."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    mails_of = [np.sort(rng.choice(300_000, k, replace=False)).astype(np.int32) for k in (3, 2_000, 250_000, 1, 40_000)] + [np.array([0, 299_999], dtype=np.int32)]
+    terms, halves = [f"t{i}" for i in range(len(mails_of))], ([], [])
+    for rows in mails_of:
+        for half, part in zip(halves, (rows[1::2], rows[::2])):
+            half.append(part)
+    batches = [ti._batch([("char", 4, terms, np.array([len(x) for x in half], dtype=np.int32).tobytes(), np.concatenate(half).tobytes(), ti._stored((np.concatenate(half) % 7 + 1).astype(np.uint8)))]) for half in halves]
+    made = ti._merged(pa.Table.from_batches(batches)).to_batches()[0]
+    found, stored = {}, 0
+    for i in range(made.num_rows):
+        record = ti.Record(made, i)
+        again = ti.Record.of((record.block, record.bucket, None, *(bytes(made.column(c)[i].as_buffer()) for c in ("sizes", "lens", "rows", "counts"))))
+        assert (again.rows == record.rows).all() and (again.counts == record.counts).all()
+        stored += len(made.column("rows")[i].as_buffer())
+        found |= {t: (record.rows[a:a + k], record.counts[a:a + k]) for t, a, k in zip(record.terms, record.starts, record.lens)}
+    assert set(found) == {t for t, rows in zip(terms, mails_of) if len(rows) >= ti.BLOCKS["char"][0]}
+    for t, (rows, counts) in found.items():
+        want = mails_of[terms.index(t)]
+        assert (rows == want).all() and (counts == want % 7 + 1).all()
+    assert stored < 2 * sum(len(rows) for rows, _ in found.values())
+
+
+def test_character_terms_by_numbers_equal_those_by_strings():
+    """Before, every gram of every word was a Python string."""
+    words = ["ab", "a", "é日本", "\U0001f600x", "zzzzzzzz", "banana"]
+    for low, high in ((2, 5), (3, 5), (4, 6), (1, 2), (5, 5)):
+        (code, each, terms), (other, sizes, known) = ti._spelled(words, low, high), ti._spelled_by_strings(words, low, high)
+        assert (each == sizes).all() and len(set(terms)) == len(terms)
+        ends = np.cumsum(sizes)
+        for a, b in zip(ends - sizes, ends):
+            assert sorted(terms[c] for c in code[a:b]) == sorted(known[c] for c in other[a:b])
+    assert ti._spelled(["".join(map(chr, range(0x4e00, 0x9000)))], 2, 5) is None
+
+
+def test_weights_of_terms_are_computed_once_a_fit(spark, mails):
+    """Before, every pass counted the mails of every term again."""
+    prepared = tm.prepare(mails, tm.ModelOptions())
+    fits = ti.Fits(tuple(c for c in prepared.rows.columns if c not in ("num", "doc_id")), ("word", "char"), (2, 5), 2, np.ones((2, prepared.size), dtype=bool), {}, {})
+    fits.scale = ti.fit_scales(prepared.index, fits)
+    shared, v = spark.sparkContext.broadcast(fits), np.random.default_rng(2).normal(size=(2, prepared.size))
+    first = ti.gram_products(prepared.index, fits, shared, v, [0, 1])
+    kept = dict(fits.weights)
+    again = ti.gram_products(prepared.index, fits, shared, v[1:], [1])
+    assert again[0] == pytest.approx(first[1]) and fits.weights == kept and all(w.is_cached for w in kept.values())
+    ti.release(fits)
+    assert not fits.weights and not any(w.is_cached for w in kept.values())
+    assert ti.gram_products(prepared.index, fits, shared, v, [0, 1]) == pytest.approx(first)
+
+
 def test_character_terms_equal_the_column_function(spark, rows):
     from mailgrain.operators import tfidf as tf
     df = rows(["ab abc ab", "a", "", "é日本 x\ty  zzzzzzzz"])
